@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.llm import leaks, tables
+from siltstone.llm import leaks, neardup, tables
 from siltstone.runtime import table
 
 QUERIES = {}
@@ -31,3 +31,14 @@ def p1_clean(spark, d):
     raw = table(spark, d, "raw_records")
     pairs = leaks.leaked_pairs(tables.records(spark, d), tables.held_out_items(spark, d))
     return leaks.without_leaks(raw, pairs, "source_record_id").select("source_record_id", "source_id", "acquired_at")
+
+
+@query
+def p4_found(spark, d):
+    members, pairs = neardup.near_duplicates(tables.records(spark, d), least=0.6, shingle=3)
+    return neardup.as_record_pairs(members, pairs).select(F.col("id_a").alias("record_id_a"), F.col("id_b").alias("record_id_b"))
+
+
+@query
+def p4_links(spark, d):
+    return neardup.links_per_record(*neardup.near_duplicates(tables.records(spark, d))).withColumnRenamed("id", "source_record_id")

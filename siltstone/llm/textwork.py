@@ -56,11 +56,13 @@ class WordHashes(dict):
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * MIX_A
-    x = x ^ (x >> np.uint64(27))
-    x = x * MIX_B
-    return x ^ (x >> np.uint64(31))
+    y = x >> np.uint64(30)
+    y ^= x
+    y *= MIX_A
+    y ^= y >> np.uint64(27)
+    y *= MIX_B
+    y ^= y >> np.uint64(31)
+    return y
 
 
 _POWERS: dict[str, np.ndarray] = {}
