@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.llm import leaks, neardup, tables
+from siltstone.llm import language, leaks, neardup, quality, tables
 from siltstone.runtime import table
 
 QUERIES = {}
@@ -42,3 +42,42 @@ def p4_found(spark, d):
 @query
 def p4_links(spark, d):
     return neardup.links_per_record(*neardup.near_duplicates(tables.records(spark, d))).withColumnRenamed("id", "source_record_id")
+
+
+def _judged(spark, d):
+    raw = table(spark, d, "raw_records").where(tables.has_text()).select(F.col("source_record_id").alias("id"), F.col("source_id").alias("source"), "text")
+    return quality.scored(raw, quality.common_map(table(spark, d, "common_words")), quality.policy_map(table(spark, d, "quality_policy")))
+
+
+@query
+def p5_found(spark, d):
+    return _judged(spark, d).where("breaks and id is not null").select(F.col("id").alias("source_record_id")).distinct()
+
+
+@query
+def p5_statistics(spark, d):
+    return _judged(spark, d).withColumnRenamed("id", "source_record_id").dropDuplicates(["source_record_id"])
+
+
+def _labelled(spark, d, clean_only):
+    raw = table(spark, d, "raw_records").where(tables.has_text() & F.col("source_record_id").isNotNull())
+    raw = raw.select(F.col("source_record_id").alias("id"), F.col("source_id").alias("source"), "text", language.label_language(F.col("upstream_language.lang")).alias("label"))
+    common = quality.common_map(table(spark, d, "common_words"))
+    model = language.fit(raw, common)
+    kept = quality.within_policy(raw, common, quality.policy_map(table(spark, d, "quality_policy"))) if clean_only else raw
+    return language.label_paragraphs(kept, model)
+
+
+@query
+def p6_found(spark, d):
+    return language.mislabelled(_labelled(spark, d, True)).withColumnRenamed("id", "source_record_id")
+
+
+@query
+def p6_paragraphs(spark, d):
+    return _labelled(spark, d, False).withColumnRenamed("id", "source_record_id").dropDuplicates(["source_record_id", "para_no"])
+
+
+@query
+def p6_records(spark, d):
+    return language.record_languages(_labelled(spark, d, False)).withColumnRenamed("id", "source_record_id")
