@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.llm import language, leaks, neardup, quality, tables
+from siltstone.llm import groupsplit, language, leaks, neardup, overlap, quality, tables
 from siltstone.runtime import table
 
 QUERIES = {}
@@ -81,3 +81,43 @@ def p6_paragraphs(spark, d):
 @query
 def p6_records(spark, d):
     return language.record_languages(_labelled(spark, d, False)).withColumnRenamed("id", "source_record_id")
+
+
+def _overlaps(spark, d, least, shingle):
+    rows = tables.examples(spark, d).where(F.col("split").isNotNull() & tables.has_text())
+    members, found = overlap.overlaps(rows.select(F.col("doc_id").alias("id"), F.col("split").isin("val", "test").alias("held"), "text"), least, shingle)
+    return rows, overlap.as_row_pairs(members, found)
+
+
+@query
+def p2_found(spark, d):
+    _, pairs = _overlaps(spark, d, 0.6, 3)
+    return pairs.select(F.least("train_id", "held_id").alias("doc_id_a"), F.greatest("train_id", "held_id").alias("doc_id_b"))
+
+
+@query
+def p2_counts(spark, d):
+    rows, pairs = _overlaps(spark, d, 0.6, 3)
+    return overlap.overlap_counts(pairs, rows.select(F.col("doc_id").alias("id"), "split", "source"))
+
+
+def _related(spark, d):
+    return tables.examples(spark, d).select(
+        F.col("doc_id").alias("id"), F.nullif(F.lower(tables.stripped(F.col("source_group_id"))), F.lit("")).alias("group"), F.col("source_human_id").alias("parent"), "split"
+    )
+
+
+@query
+def p7_found(spark, d):
+    return groupsplit.tied_across_splits(_related(spark, d)).withColumnRenamed("id", "doc_id")
+
+
+@query
+def p7_splits(spark, d):
+    return groupsplit.assign_splits(_related(spark, d)).withColumnRenamed("id", "doc_id")
+
+
+@query
+def p7_shares(spark, d):
+    done = groupsplit.assign_splits(_related(spark, d))
+    return done.groupBy("split").agg(F.count("*").alias("n_rows"), F.count_distinct("root").alias("n_components"))
