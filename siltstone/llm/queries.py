@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.llm import groupsplit, language, leaks, neardup, overlap, quality, tables
+from siltstone.llm import groupsplit, language, leaks, neardup, overlap, quality, spam, tables
 from siltstone.runtime import table
 
 QUERIES = {}
@@ -121,3 +121,21 @@ def p7_splits(spark, d):
 def p7_shares(spark, d):
     done = groupsplit.assign_splits(_related(spark, d))
     return done.groupBy("split").agg(F.count("*").alias("n_rows"), F.count_distinct("root").alias("n_components"))
+
+
+def _pages(spark, d):
+    return table(spark, d, "documents").where(tables.has_text()).select("doc_id", language.label_language(F.col("lang")).alias("lang"), "text")
+
+
+def _judged_pages(spark, d):
+    return spam.judged_pages(_pages(spark, d), frozenset(quality.common_map(table(spark, d, "common_words"))))
+
+
+@query
+def p10_found(spark, d):
+    return _judged_pages(spark, d).where("is_spam").select("doc_id")
+
+
+@query
+def p10_pages(spark, d):
+    return _judged_pages(spark, d)
