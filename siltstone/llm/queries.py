@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.llm import groupsplit, language, leaks, neardup, overlap, quality, spam, tables
-from siltstone.runtime import table
+from siltstone.llm import groupsplit, language, leaks, mixing, neardup, overlap, packing, quality, spam, splitting, tables, tokens
+from siltstone.runtime import cut, table
 
 QUERIES = {}
 SQL = {}
@@ -139,3 +139,53 @@ def p10_found(spark, d):
 @query
 def p10_pages(spark, d):
     return _judged_pages(spark, d)
+
+
+def _pieces(spark, d):
+    rows = table(spark, d, "raw_examples").where(tables.has_text()).select("doc_id", "domain", "text", "spans")
+    return splitting.pieces(rows, table(spark, d, "piece_limits"))
+
+
+@query
+def p3_found(spark, d):
+    return _pieces(spark, d).where("n_pieces > 1").select("doc_id").distinct()
+
+
+@query
+def p3_pieces(spark, d):
+    return _pieces(spark, d)
+
+
+def _packs(spark, d):
+    return [(r["pack_id"], r["capacity_tokens"]) for r in table(spark, d, "pack_sizes").orderBy("pack_id").collect()]
+
+
+def _containers(spark, d):
+    sizes = tokens.token_counts(table(spark, d, "documents").select("doc_id", "source", "text"))
+    return packing.containers(cut(sizes).select("doc_id", "n_tokens"), _packs(spark, d))
+
+
+@query
+def p8_containers(spark, d):
+    return _containers(spark, d)
+
+
+@query
+def p8_fill(spark, d):
+    return packing.fill_report(_containers(spark, d), _packs(spark, d))
+
+
+def _mixed(spark, d):
+    name = F.lower(tables.stripped(F.col("source")))
+    sizes = tokens.token_counts(table(spark, d, "documents").select("doc_id", name.alias("source"), "text"))
+    return mixing.mixed(sizes, table(spark, d, "mix_targets").withColumn("source", name))
+
+
+@query
+def p9_mix(spark, d):
+    return _mixed(spark, d)[0]
+
+
+@query
+def p9_shares(spark, d):
+    return mixing.share_report(*_mixed(spark, d))
