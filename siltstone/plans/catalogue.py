@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from siltstone.plans import corpus  # noqa: F401
+from siltstone.plans.registry import QUERIES, SQL  # noqa: F401
