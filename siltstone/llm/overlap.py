@@ -7,7 +7,7 @@ evaluation record, merged, give its coverage.
 
 Routing keeps this linear: a text of ``n`` distinct runs that is similar at ``least`` shares at least
 ``ceil(least * n)`` of them. So training texts with fewer runs in the Bloom filter of the held-out runs
-drop out in the scan, and of the others only the rarest ``n - ceil(least * n) + 1`` runs (by a common order:
+drop out in the scan, then records with fewer runs in the filter of the training texts left, and of the others only the rarest ``n - ceil(least * n) + 1`` runs (by a common order:
 runs not shared between the sides first, then by how many texts have them) route them to the shards of
 the records that have one of these runs among their own rarest. No similar pair is lost that way.
 
@@ -175,7 +175,11 @@ def overlaps(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> tuple[Dat
     held = classes.where("held").select("cls", "words").mapInArrow(_run_sets(shingle, least), schema)
     n_runs = classes.where("held").agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     known = bloom.build(held.select(F.explode("keys").alias("key")), n_runs)
-    train = classes.where("train").select("cls", "words").mapInArrow(_run_sets(shingle, least, known), schema)
+    train = cut(classes.where("train").select("cls", "words").mapInArrow(_run_sets(shingle, least, known), schema))
+    # the other way round: of the records only those with enough runs in the training texts that are left
+    n_kept = train.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    known_too = bloom.build(train.select(F.explode("keys").alias("key")), n_kept)
+    held = cut(classes.where("held").select("cls", "words").mapInArrow(_run_sets(shingle, least, known_too), schema))
     routes = cut(_route(train, held, least))
     n_shards = max(1, math.ceil(routes.select("record").distinct().count() / RECORDS_PER_SHARD))
     shard = F.pmod(F.xxhash64("record"), F.lit(n_shards)).cast("int")
