@@ -257,7 +257,7 @@ def record_languages(labelled: DataFrame) -> DataFrame:
     """(id, lang, confidence, n_languages): the language of most words of each record, by its paragraphs."""
     per = labelled.dropDuplicates(["id", "para_no"]).groupBy("id", "lang").agg(F.sum("n_words").alias("n"), F.sum(F.col("confidence") * F.col("n_words")).alias("c"))
     best = F.max_by(F.struct("lang", "c"), F.struct(F.col("n"), F.col("c")))
-    return per.groupBy("id").agg(best.alias("b"), F.sum("n").alias("n"), F.count_if("n > 0").alias("n_languages")).select("id", F.col("b.lang").alias("lang"), F.coalesce(F.try_divide(F.col("b.c"), F.col("n")), F.lit(0.0)).alias("confidence"), "n_languages")
+    return per.groupBy("id").agg(best.alias("b"), F.sum("n").alias("n"), F.count_if(F.expr("n > 0")).alias("n_languages")).select("id", F.col("b.lang").alias("lang"), F.coalesce(F.try_divide(F.col("b.c"), F.col("n")), F.lit(0.0)).alias("confidence"), "n_languages")
 
 
 def mislabelled(labelled: DataFrame) -> DataFrame:
