@@ -113,7 +113,7 @@ def transition_faults(events: DataFrame) -> DataFrame:
 def feedback_stats(states: DataFrame) -> DataFrame:
     """(total, pending, reviewed, rejection_rate) over (item, state)."""
     reviewed = F.count_if(F.col("state").isin(TERMINAL))
-    return states.agg(F.count("*").alias("total"), F.count_if(~F.col("state").isin(TERMINAL)).alias("pending"), reviewed.alias("reviewed"), F.bround(F.coalesce(F.try_divide(F.count_if("state = 'rejected'"), reviewed), F.lit(0.0)), 4).alias("rejection_rate"))
+    return states.agg(F.count("*").alias("total"), F.count_if(~F.col("state").isin(TERMINAL)).alias("pending"), reviewed.alias("reviewed"), F.bround(F.coalesce(F.try_divide(F.count_if(F.expr("state = 'rejected'")), reviewed), F.lit(0.0)), 4).alias("rejection_rate"))
 
 
 # ---- benchmark parsers: the columns of each source are a contract ----

@@ -93,7 +93,7 @@ def condition_cost(df: DataFrame, threshold: float, by: list[str] = ()) -> DataF
 
 def measurable(df: DataFrame, budget: float, by: list[str] = ()) -> DataFrame:
     """Whether there are enough human texts to see the budget (at least 5 expected false positives)."""
-    return df.groupBy(*by).agg(F.count_if("y_true = 0").alias("n_human")).withColumn("measurable", F.col("n_human") >= math.ceil(5 / budget))
+    return df.groupBy(*by).agg(F.count_if(F.expr("y_true = 0")).alias("n_human")).withColumn("measurable", F.col("n_human") >= math.ceil(5 / budget))
 
 
 def group_scores(df: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ def f1(tp: Column, fp: Column, fn: Column) -> Column:
 def token_f1(tokens: DataFrame, ignore: int = -100) -> DataFrame:
     """Per class: f1 and support over (y_true, y_pred) tokens; ignored truth is left out."""
     real = tokens.where(F.col("y_true") != ignore)
-    t = real.groupBy(F.col("y_true").alias("cls")).agg(F.count("*").alias("n_true"), F.count_if("y_true = y_pred").alias("tp"))
+    t = real.groupBy(F.col("y_true").alias("cls")).agg(F.count("*").alias("n_true"), F.count_if(F.expr("y_true = y_pred")).alias("tp"))
     p = real.groupBy(F.col("y_pred").alias("cls")).agg(F.count("*").alias("n_pred"))
     both = t.join(p, "cls", "full").fillna(0, ["n_true", "tp", "n_pred"])
     return both.select("cls", f1(F.col("tp"), F.col("n_pred") - F.col("tp"), F.col("n_true") - F.col("tp")).alias("f1"), F.col("n_true").alias("support"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,8 +104,6 @@ def match_counts(df: DataFrame, key: str) -> DataFrame:
     Segments match greedily one to one, highest overlap ratio first, from 0.5; boundaries in order within two tokens. Greedy
     matching is sequential per document, hence an Arrow function over documents.
     """
-    import pandas as pd
-
     def runs(labels):
         out, start, now = [], 0, None
         for i, x in enumerate([*labels, IGNORE]):
