@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 #: What counts as white space beyond ASCII, for regex classes that RE2 and Java read alike.
 SPACE = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 WORD_CHAR = r"\p{L}\p{N}_"
+#: The same for tokens, in Java's terms: one property lookup per character instead of a dozen ranges.
+TOKEN = r"(?U)[^\s\x1C-\x1F]+"
+#: A run of ASCII letters and apostrophes between word boundaries that don't count combining marks as word characters.
+ASCII_WORD = rf"(?:(?<![{WORD_CHAR}])(?=[a-z])|(?<=[{WORD_CHAR}])(?='))[a-z']+(?:(?<=[a-z])(?![{WORD_CHAR}])|(?<=')(?=[{WORD_CHAR}]))"
 INVISIBLE = "​‌‍⁠﻿­᠎"
 ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " "}
 ENGLISH_STOPWORDS = ["the", "and", "of", "to", "in", "a", "is", "that", "for", "it", "with", "as", "was", "on", "be", "by", "this", "are", "from", "at", "or", "an", "have", "not"]
@@ -42,16 +46,16 @@ def let(c: Column, body) -> Column:
 
 def trim_all(c: Column) -> Column:
     """White space of any kind off both ends."""
-    return F.regexp_replace(c, rf"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.regexp_replace(F.trim(c), rf"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
 def word_tokens(c: Column) -> Column:
     """Blank-separated tokens."""
-    return F.regexp_extract_all(c, F.lit(rf"[^{SPACE}]+"), F.lit(0))
+    return F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
 
 
 def token_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(rf"[^{SPACE}]+"))
+    return F.size(word_tokens(c))
 
 
 def word_runs(c: Column) -> Column:
@@ -61,7 +65,7 @@ def word_runs(c: Column) -> Column:
 
 def symbol_ratio(c: Column) -> Column:
     """Share of characters that are neither word characters nor white space; 1 for the empty text."""
-    rest = F.length(F.regexp_replace(c, rf"[{WORD_CHAR}{SPACE}]", ""))
+    rest = F.length(F.regexp_replace(c, rf"[{WORD_CHAR}{SPACE}]+", ""))
     return F.when(F.length(c) == 0, 1.0).otherwise(F.try_divide(rest, F.length(c)))
 
 
@@ -109,11 +113,15 @@ def collapse_whitespace(c: Column) -> Column:
     return trim_all(F.array_join(F.transform(F.split(c, "\n"), trim_all), "\n"))
 
 
+def stopword_ratio(c: Column) -> Column:
+    """Share of English stopwords among the words of ASCII letters and apostrophes; 0 without words."""
+    words = F.regexp_extract_all(F.lower(c), F.lit(ASCII_WORD), F.lit(0))
+    return F.coalesce(let(words, lambda w: F.try_divide(F.size(F.filter(w, lambda x: x.isin(ENGLISH_STOPWORDS))), F.size(w))), F.lit(0.0))
+
+
 def heuristic_language(c: Column) -> tuple[Column, Column]:
-    """(language, score) by the share of English stopwords among words of ASCII letters; no words: unknown, 0."""
-    words = F.filter(F.regexp_extract_all(F.lower(c), F.lit(rf"[{WORD_CHAR}']+"), F.lit(0)), lambda w: w.rlike("^'*[a-z][a-z']*$"))
-    hits = F.size(F.filter(words, lambda w: F.regexp_replace(w, "^'+|'+$", "").isin(ENGLISH_STOPWORDS)))
-    score = F.least(F.coalesce(F.try_divide(hits, F.size(words)), F.lit(0.0)) / 0.25, F.lit(1.0))
+    """(language, score) from the stopword ratio; no words: unknown, 0."""
+    score = F.least(stopword_ratio(c) / 0.25, F.lit(1.0))
     return F.when(score >= 0.5, "en").otherwise("unknown"), F.bround(score, 4)
 
 

@@ -132,17 +132,19 @@ def first_wins(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     of every component. ``pairs``: (a, b, similarity) with a < b. ``duplicate_of`` is the most similar kept one (ties: least id).
     """
     edges = cut(pairs.select("a", "b", "similarity"))
-    state = cut(ids.select("id", F.lit("open").alias("state")))
+    touched = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
+    state = cut(touched.withColumn("state", F.lit("open")))  # rows without a neighbour are kept as they are
     while True:
         by_a = edges.join(state.select(F.col("id").alias("a"), F.col("state").alias("sa")), "a")
         seen = by_a.groupBy(F.col("b").alias("id")).agg(F.max(F.col("sa") == "kept").alias("kept_before"), F.max(F.col("sa") == "open").alias("open_before"))
         new = F.when(F.col("state") != "open", F.col("state")).when(F.col("kept_before"), "dropped").when(F.coalesce("open_before", F.lit(False)), "open").otherwise("kept")
         state = cut(state.join(seen, "id", "left").select("id", new.alias("state")))
-        if state.where("state = 'open'").isEmpty():
+        if edges.isEmpty() or state.where("state = 'open'").isEmpty():
             break
     kept = state.where("state = 'kept'").select(F.col("id").alias("a"))
     best = edges.join(kept, "a").groupBy(F.col("b").alias("id")).agg(F.min_by("a", F.struct(F.negative("similarity"), F.col("a"))).alias("best"))
-    return state.join(best, "id", "left").select("id", F.when(F.col("state") == "dropped", F.col("best")).alias("duplicate_of"))
+    dropped = state.where("state = 'dropped'").join(best, "id").select("id", F.col("best").alias("duplicate_of"))
+    return ids.select("id").join(dropped, "id", "left")
 
 
 def hamming_pairs(hashes: DataFrame, most: int = 6, blocks: int = 7) -> DataFrame:

@@ -46,16 +46,16 @@ class CleaningPolicy:
 
 def length_reason(c: Column, policy: LengthPolicy = LengthPolicy()) -> Column:
     """First length reason, null if there is none."""
-    n = T.token_count(c)
-    return F.when(F.length(c) < policy.min_chars, "too_short_chars").when(n < policy.min_tokens, "too_short_tokens").when(n > policy.max_tokens, "too_long_tokens")
+    tokens = T.let(T.token_count(c), lambda n: F.when(n < policy.min_tokens, "too_short_tokens").when(n > policy.max_tokens, "too_long_tokens"))
+    return F.when(F.length(c) < policy.min_chars, "too_short_chars").otherwise(tokens)
 
 
 def quality_reason(c: Column, policy: QualityPolicy = QualityPolicy()) -> Column:
-    mean = T.mean_word_length(c)
+    anomalous = T.let(T.mean_word_length(c), lambda m: ~m.between(policy.min_mean_word_length, policy.max_mean_word_length))
     return (
         F.when(T.symbol_ratio(c) > policy.max_symbol_ratio, "high_symbol_ratio")
         .when(T.repeated_line_ratio(c) > policy.max_repeated_line_ratio, "repetitive_lines")
-        .when(~mean.between(policy.min_mean_word_length, policy.max_mean_word_length), "anomalous_word_length")
+        .when(anomalous, "anomalous_word_length")
         .when(T.unique_word_ratio(c) < policy.min_unique_word_ratio, "low_lexical_diversity")
     )
 

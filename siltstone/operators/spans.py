@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 IGNORE = -100
 LABEL_IDS = {"human": 0, "ai_assisted": 1, "ai_generated": 2}
@@ -19,12 +22,16 @@ def windows(n: Column, size: int = 512, stride: int = 384) -> Column:
     return F.transform(starts, lambda s: F.struct(s.cast("int").alias("start"), F.least(s + size, n).cast("int").alias("end")))
 
 
-def word_offsets(c: Column) -> Column:
-    """Array of (start, end) code-point offsets of the runs of letters, digits and underscores."""
-    pieces = F.split(F.regexp_replace(c, r"([\p{L}\p{N}_]+)", "\u0001$1\u0001"), "\u0001")
-    step = lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), (acc["i"] + 1).alias("i"), F.when(acc["i"] % 2 == 1, F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(p)).alias("end"))))).otherwise(acc["out"]).alias("out"))
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    return F.aggregate(pieces, zero, step, lambda acc: acc["out"])
+WORD_RUN = re.compile(r"\w+")
+
+
+@F.pandas_udf(ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType())))
+def word_offsets(text: pd.Series) -> pd.Series:
+    """Array of (start, end) code-point offsets of the runs of letters, digits and underscores.
+
+    Offsets need a running position, which as a fold over arrays is quadratic in the JVM; hence a vectorised function.
+    """
+    return text.map(lambda t: [{"start": m.start(), "end": m.end()} for m in WORD_RUN.finditer(t)], na_action="ignore")
 
 
 def tiling_fault(spans: Column, n: Column) -> Column:

@@ -8,7 +8,7 @@ from siltstone.functions import hashing as H
 from siltstone.functions import text as T
 from siltstone.operators import dedup, gates
 from siltstone.plans.registry import query
-from siltstone.runtime import table
+from siltstone.runtime import cut, spread, table
 
 S, W = T.SPACE, T.WORD_CHAR
 R6 = lambda c: F.round(c, 6)
@@ -21,9 +21,10 @@ _symbols = f"case when length(text) = 0 then 1.0 else length(regexp_replace(text
 _repeated = f"case when len({_lines}) < 2 then 0.0 else 1.0 - len(list_distinct({_lines})) / len({_lines})::double end"
 _mean = f"case when len({_words}) = 0 then 0.0 else length(array_to_string({_words}, '')) / len({_words})::double end"
 _unique = f"case when len({_low}) = 0 then 0.0 else len(list_distinct({_low})) / len({_low})::double end"
-_asciiwords = f"list_filter(regexp_extract_all(lower(text), '[{W}'']+'), lambda w: regexp_matches(w, '^''*[a-z][a-z'']*$'))"
+# words with other letters or digits become a 0, so that RE2's ASCII word boundaries fall where Unicode's do
+_asciiwords = f"regexp_extract_all(regexp_replace(lower(text), '[{W}]*(?:[^\\P{{L}}a-z]|[\\p{{N}}_])[{W}]*', '0', 'g'), '\\b[a-z'']+\\b')"
 _stop = ", ".join(f"'{w}'" for w in T.ENGLISH_STOPWORDS)
-_ratio = f"coalesce(len(list_filter({_asciiwords}, lambda w: list_contains([{_stop}], regexp_replace(w, '^''+|''+$', '', 'g')))) / nullif(len({_asciiwords}), 0)::double, 0.0)"
+_ratio = f"coalesce(len(list_filter({_asciiwords}, lambda w: list_contains([{_stop}], w))) / nullif(len({_asciiwords}), 0)::double, 0.0)"
 _score = f"least({_ratio} / 0.25, 1.0)"
 _length_reason = f"case when length(text) < 200 then 'too_short_chars' when {_tokens} < 50 then 'too_short_tokens' when {_tokens} > 20000 then 'too_long_tokens' end"
 _quality_reason = f"case when {_symbols} > 0.20 then 'high_symbol_ratio' when {_repeated} > 0.30 then 'repetitive_lines' when not ({_mean} between 2.5 and 12.0) then 'anomalous_word_length' when {_unique} < 0.20 then 'low_lexical_diversity' end"
@@ -33,7 +34,11 @@ _split = lambda g: f"case when ('0x' || substr(sha256({g} || 'forge-v1'), 1, 8))
 
 
 def documents(spark, d):
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents").select("doc_id", "text", "lang", "source"))
+
+
+def raw_records(spark, d):
+    return spread(table(spark, d, "raw_records"))
 
 
 def judged(spark, d):
@@ -50,12 +55,12 @@ def text_scalars(spark, d):
 @query(f"select source_record_id, acquired_at, length(x) as n_chars, sha256(x) as sha from (select source_record_id, epoch_us(acquired_at) as acquired_at, translate(text, '{T.INVISIBLE}', '') as x from raw_records where text is not null)")
 def text_strip_invisible(spark, d):
     x = T.strip_invisible(F.col("text"))
-    return table(spark, d, "raw_records").where("text is not null").select("source_record_id", F.unix_micros("acquired_at").alias("acquired_at"), F.length(x).alias("n_chars"), F.sha2(x, 256).alias("sha"))
+    return raw_records(spark, d).where("text is not null").select("source_record_id", F.unix_micros("acquired_at").alias("acquired_at"), F.length(x).alias("n_chars"), F.sha2(x, 256).alias("sha"))
 
 
 @query(f"select source_record_id, epoch_us(acquired_at) as acquired_at, sha256(translate(text, '{T.CONFUSABLE_FROM}', '{T.CONFUSABLE_TO}')) as sha from raw_records where text is not null")
 def text_fold_confusables(spark, d):
-    return table(spark, d, "raw_records").where("text is not null").select("source_record_id", F.unix_micros("acquired_at").alias("acquired_at"), F.sha2(T.fold_confusables(F.col("text")), 256).alias("sha"))
+    return raw_records(spark, d).where("text is not null").select("source_record_id", F.unix_micros("acquired_at").alias("acquired_at"), F.sha2(T.fold_confusables(F.col("text")), 256).alias("sha"))
 
 
 _collapsed = "array_to_string(list_transform(string_split(regexp_replace(regexp_replace(text, '[ \\t\\x{A0}\\x{2000}-\\x{200A}]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), chr(10)), lambda x: " + _trim("x") + "), chr(10))"
@@ -63,7 +68,7 @@ _collapsed = "array_to_string(list_transform(string_split(regexp_replace(regexp_
 
 @query(f"select source_record_id, epoch_us(acquired_at) as acquired_at, sha256({_trim(_collapsed)}) as sha from raw_records where text is not null")
 def text_collapse_whitespace(spark, d):
-    return table(spark, d, "raw_records").where("text is not null").select("source_record_id", F.unix_micros("acquired_at").alias("acquired_at"), F.sha2(T.collapse_whitespace(F.col("text")), 256).alias("sha"))
+    return raw_records(spark, d).where("text is not null").select("source_record_id", F.unix_micros("acquired_at").alias("acquired_at"), F.sha2(T.collapse_whitespace(F.col("text")), 256).alias("sha"))
 
 
 _nomarkup = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?is)<script\\b[^>]*>.*?</script>', ' ', 'g'), '(?is)<style\\b[^>]*>.*?</style>', ' ', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '<[^>]+>', ' ', 'g')"
@@ -73,7 +78,7 @@ for _e, _s in T.ENTITIES.items():
 
 @query(f"select source_record_id, epoch_us(acquired_at) as acquired_at, sha256(regexp_replace({_nomarkup}, '&(?:#\\d+|#x[0-9a-fA-F]+|[a-zA-Z]+);', ' ', 'g')) as sha from raw_records where text is not null")
 def text_strip_markup(spark, d):
-    return table(spark, d, "raw_records").where("text is not null").select("source_record_id", F.unix_micros("acquired_at").alias("acquired_at"), F.sha2(T.strip_markup(F.col("text")), 256).alias("sha"))
+    return raw_records(spark, d).where("text is not null").select("source_record_id", F.unix_micros("acquired_at").alias("acquired_at"), F.sha2(T.strip_markup(F.col("text")), 256).alias("sha"))
 
 
 @query(f"select doc_id, case when {_score} >= 0.5 then 'en' else 'unknown' end as language, round_even({_score}, 4) as score from documents where text is not null")
@@ -87,7 +92,7 @@ def text_language_heuristic(spark, d):
 )
 def text_language_dispatch(spark, d):
     language, _, detector = T.detect_language(F.col("text"), F.col("upstream_language.lang"), F.col("upstream_language.score"))
-    return table(spark, d, "raw_records").where("text is not null").groupBy(detector.alias("detector"), language.alias("language")).agg(F.count("*").alias("n"))
+    return raw_records(spark, d).where("text is not null").groupBy(detector.alias("detector"), language.alias("language")).agg(F.count("*").alias("n"))
 
 
 @query("select doc_id, sha256(text) as content_sha256, length(text) as n from documents where text is not null")
@@ -142,7 +147,7 @@ def text_length_bins(spark, d):
 
 @query("select doc_id, 'Write about ' || domain || ' in the manner of ' || register || '.' as prompt from (select source_record_id as doc_id, coalesce(domain, 'unknown') as domain, coalesce(register, 'informational') as register from raw_records)")
 def text_render_prompt(spark, d):
-    rows = table(spark, d, "raw_records").select(F.col("source_record_id").alias("doc_id"), F.coalesce("domain", F.lit("unknown")).alias("domain"), F.coalesce("register", F.lit("informational")).alias("register"))
+    rows = raw_records(spark, d).select(F.col("source_record_id").alias("doc_id"), F.coalesce("domain", F.lit("unknown")).alias("domain"), F.coalesce("register", F.lit("informational")).alias("register"))
     return rows.select("doc_id", T.render_template("Write about {domain} in the manner of {register}.", {"domain": F.col("domain"), "register": F.col("register")}).alias("prompt"))
 
 
@@ -169,7 +174,7 @@ def text_redacted(spark, d):
 def text_normalized(spark, d):
     from siltstone.functions.python_udfs import normalize
 
-    return table(spark, d, "raw_records").where("text is not null").select("source_record_id", "acquired_at", F.sha2(normalize("text"), 256).alias("canonical_sha256"))
+    return raw_records(spark, d).where("text is not null").select("source_record_id", "acquired_at", F.sha2(normalize("text"), 256).alias("canonical_sha256"))
 
 
 # ---- gates ----
@@ -221,8 +226,6 @@ def dedup_across_sources(spark, d):
 
 
 def _first_wins(spark, d):
-    from siltstone.runtime import cut
-
     kept = judged(spark, d).where("reject_reason is null").select("doc_id", "text", F.sha2("text", 256).alias("sha"))
     own = cut(dedup.exact_first_wins(kept, "sha", "doc_id").where("duplicate_of is null").select("doc_id", "text"))
     pairs = dedup.banded_pairs(dedup.signatures(own, "doc_id", "text"))
@@ -264,7 +267,8 @@ def split_counts(spark, d):
     f"select split, outcome, count(*) as n, sum(n_tokens)::bigint as n_tokens from (select case when reason is null then {_split(chr(39) + 'grp_' + chr(39) + ' || doc_id')} else 'none' end as split, coalesce(reason, case when doc_id <> m then 'exact_duplicate' else 'kept' end) as outcome, n_tokens from (select doc_id, reason, n_tokens, min(case when reason is null then doc_id end) over (partition by sha) as m from (select doc_id, coalesce(sha256(text), '') as sha, {_reason} as reason, coalesce({_tokens}, 0) as n_tokens from documents))) group by all"
 )
 def pipeline_minimum_slice(spark, d):
-    rows = judged(spark, d).select("doc_id", "reject_reason", F.sha2("text", 256).alias("sha"), F.coalesce(T.token_count(F.col("text")), F.lit(0)).alias("n_tokens"))
+    # the gates run once; what both uses of the result need is a few narrow columns
+    rows = cut(judged(spark, d).select("doc_id", "reject_reason", F.sha2("text", 256).alias("sha"), F.coalesce(T.token_count(F.col("text")), F.lit(0)).alias("n_tokens")))
     first = rows.where("reject_reason is null").groupBy("sha").agg(F.min("doc_id").alias("first"))
     kept = F.col("reject_reason").isNull()
     split = F.when(kept, H.split_of_group(H.group_id(F.col("doc_id")))).otherwise("none")
@@ -277,7 +281,7 @@ def pipeline_clean_corpus(spark, d):
     """Normalise, redact, gate, deduplicate (exact and near) and split the raw records, ready to write."""
     from siltstone.plans.ingest import clean
 
-    return clean(table(spark, d, "raw_records")).select("doc_id", "source", "split", "token_count", "content_sha256", "pii_flags", "redistributable")
+    return clean(raw_records(spark, d)).select("doc_id", "source", "split", "token_count", "content_sha256", "pii_flags", "redistributable")
 
 
 # ---- manifests ----
@@ -307,10 +311,10 @@ def manifest_shards(spark, d):
 def publish_redistributable(spark, d):
     from siltstone.sources.lake import redistributable_view
 
-    return redistributable_view(table(spark, d, "raw_records"), F.col("license").isin("odc-by", "public-domain")).select("source_record_id", "text")
+    return redistributable_view(raw_records(spark, d), F.col("license").isin("odc-by", "public-domain")).select("source_record_id", "text")
 
 
 @query("select source_record_id, license, domain, length(text) as n from raw_records where coalesce(license not in ('odc-by', 'public-domain'), true)")
 def publish_metadata_only(spark, d):
-    rows = table(spark, d, "raw_records").where(~F.coalesce(F.col("license").isin("odc-by", "public-domain"), F.lit(False)))
+    rows = raw_records(spark, d).where(~F.coalesce(F.col("license").isin("odc-by", "public-domain"), F.lit(False)))
     return rows.withColumn("n", F.length("text")).select("source_record_id", "license", "domain", "n")

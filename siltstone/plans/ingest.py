@@ -9,30 +9,36 @@ from siltstone.functions import hashing as H
 from siltstone.functions import text as T
 from siltstone.functions.python_udfs import normalize, redact
 from siltstone.operators import dedup, gates
-from siltstone.runtime import cut
+from siltstone.runtime import cut, spread
 
 FREE_LICENSES = ["odc-by", "public-domain", "cc0", "cc-by"]
 
 
-def judged_records(raw: DataFrame, policy: gates.CleaningPolicy = gates.CleaningPolicy()) -> DataFrame:
-    """Every record with its normalised and redacted text and its first ``reject_reason``.
-
-    Order: schema, normalise, length, language, quality, redaction, length again. Python runs twice per text (normalise,
-    redact); the gates are built-in expressions between.
-    """
+def gated(raw: DataFrame, policy: gates.CleaningPolicy) -> DataFrame:
+    """Records with normalised text, language and the first reason of the gates before redaction (``early``)."""
     text = F.col("clean")
-    rows = raw.withColumn("clean", normalize("text"))
+    rows = raw.select("source_record_id", "source_id", "source_config", "text", "license", "domain", "register", "acquired_at", "upstream_language").withColumn("clean", normalize("text"))
     language, score, detector = T.detect_language(text, F.col("upstream_language.lang"), F.col("upstream_language.score"))
     rows = rows.withColumn("language", language).withColumn("language_score", score).withColumn("detector", detector)
-    rows = rows.withColumn("early", gates.reject_reason(F.col("source_record_id"), text, F.col("language"), F.col("language_score"), policy))
-    rows = rows.withColumn("r", redact("clean"))
+    return rows.withColumn("early", gates.reject_reason(F.col("source_record_id"), text, F.col("language"), F.col("language_score"), policy))
+
+
+def redacted(rows: DataFrame, policy: gates.CleaningPolicy) -> DataFrame:
+    """Gated records with redacted text, kinds found and the final ``reject_reason`` (length is checked again)."""
     late = F.concat(gates.length_reason(F.col("r.text"), policy.length), F.lit("_after_redaction"))
-    return rows.withColumn("reject_reason", F.coalesce("early", late)).withColumn("text", F.col("r.text")).withColumn("pii_flags", F.array_join("r.kinds", ",")).drop("r", "early", "clean")
+    rows = rows.withColumn("r", redact("clean")).withColumn("reject_reason", F.coalesce("early", late))
+    return rows.withColumn("text", F.col("r.text")).withColumn("pii_flags", F.array_join("r.kinds", ",")).drop("r", "early", "clean")
+
+
+def judged_records(raw: DataFrame, policy: gates.CleaningPolicy = gates.CleaningPolicy()) -> DataFrame:
+    """Every record with its first ``reject_reason`` in the order schema, normalise, length, language, quality, redaction, length."""
+    return redacted(gated(raw, policy), policy)
 
 
 def clean(raw: DataFrame, policy: gates.CleaningPolicy = gates.CleaningPolicy(), near: bool = True) -> DataFrame:
     """Kept records as documents: doc_id, source, text, hash, split; exact and near duplicates resolved to the least id."""
-    kept = judged_records(raw, policy).where("reject_reason is null")
+    # rejected texts leave before the second Python stage
+    kept = redacted(gated(raw, policy).where("early is null"), policy).where("reject_reason is null")
     docs = cut(
         kept.select(
             F.concat_ws("_", "source_id", "source_record_id").alias("doc_id"), F.coalesce("source_id", F.lit("unknown")).alias("source"), "source_config", "text", "license", "domain", "register", "language", "language_score", "acquired_at",
@@ -43,7 +49,7 @@ def clean(raw: DataFrame, policy: gates.CleaningPolicy = gates.CleaningPolicy(),
     docs = docs.join(survivors, ["content_sha256", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
     if near:
         docs = cut(docs)
-        settled = dedup.first_wins(docs.select(F.col("doc_id").alias("id")), dedup.banded_pairs(dedup.signatures(docs, "doc_id", "text")))
+        settled = dedup.first_wins(docs.select(F.col("doc_id").alias("id")), dedup.banded_pairs(dedup.signatures(spread(docs), "doc_id", "text")))
         docs = docs.join(settled.where("duplicate_of is null").select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     group = H.group_id(F.col("doc_id"))
     return docs.withColumn("source_group_id", group).withColumn("split", H.split_of_group(group))

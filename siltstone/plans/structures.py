@@ -53,7 +53,7 @@ def span_totals(spark, d):
 
 def _aligned(spark, d):
     docs = cut(spanned(spark, d).where(F.size("spans") > 0))
-    tokens = docs.select("doc_id", F.posexplode(spans.word_offsets(F.col("text"))).alias("pos", "t")).select("doc_id", "pos", "t.start", "t.end")
+    tokens = docs.select("doc_id", spans.word_offsets("text").alias("w")).select("doc_id", F.posexplode("w").alias("pos", "t")).select("doc_id", "pos", "t.start", "t.end")
     rows = docs.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
     return spans.align(tokens, rows, "doc_id")
 
