@@ -108,10 +108,13 @@ def _fit(texts: list[tuple[int, list[str]]], common: dict[str, list[int]]) -> Mo
     for c in counts:
         total.update(c)
     size = np.array([sum(c.values()) + 1.0 for c in counts])
-    vocabulary = [w for w, n in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:MOST_WORDS] if n >= 4 and not w.isdigit()]
+    vocabulary = [w for w, n in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:MOST_WORDS] if n >= 4 and not w.isdigit() and not NOT_LATIN.search(w)]
     rate = np.array([[c[w] for c in counts] for w in vocabulary], dtype=float).reshape(len(vocabulary), k)
     score = np.log((rate + 0.3) / size * size.mean())
-    score = np.maximum(score - score.max(axis=1, keepdims=True), FLOOR) if len(vocabulary) else score
+    absent = [lang for lang, c in enumerate(counts) if not c]  # no text and no common word: never the answer
+    if len(vocabulary):
+        score[:, absent] = -np.inf
+        score = np.maximum(score - score.max(axis=1, keepdims=True), FLOOR)
     buckets = np.full((TRIPLES, k), 0.5)
     for lang, c in enumerate(counts):
         for word, n in c.items():
@@ -119,7 +122,8 @@ def _fit(texts: list[tuple[int, list[str]]], common: dict[str, list[int]]) -> Mo
                 for b in triple_buckets(word):
                     buckets[b, lang] += min(n, 5)
     triples = np.log(buckets / buckets.sum(axis=0))
-    triples = np.maximum(triples - triples.max(axis=1, keepdims=True), -2.0) * 0.5
+    triples[:, absent] = -np.inf
+    triples = np.maximum(triples - triples.max(axis=1, keepdims=True), -2.0) * 0.5 if len(absent) < k else np.zeros((TRIPLES, k))
     return Model({w: i for i, w in enumerate(vocabulary)}, score.astype(np.float32), triples)
 
 

@@ -32,6 +32,7 @@ CHI2_975_8 = 17.5345
 #: Core of the first step, in robust standard deviations; least standard deviation of each statistic.
 CORE = 3.5
 LEAST_DEVIATION = 0.01
+NO_LANGUAGE = "und"
 
 RUNS = re.compile(r"\w+")
 NEITHER = re.compile(r"[\w\s]+")
@@ -52,7 +53,7 @@ def statistics_of(text: str, common: dict[str, str]) -> tuple[str, list[float]]:
     for langs, k in votes.items():
         for lang in langs.split():
             per[lang] = per.get(lang, 0) + k
-    language = min(per, key=lambda x: (-per[x], x)) if per else "und"
+    language = min(per, key=lambda x: (-per[x], x)) if per else NO_LANGUAGE
     joined = "".join(runs)
     digits = 0 if joined.isalpha() else sum(map(joined.count, "0123456789"))
     return language, [
@@ -144,9 +145,10 @@ def _distances(model: dict, stats: DataFrame) -> DataFrame:
 
 def robust_model(stats: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Robust mean and covariance of the statistics per language; only sums per language reach the driver."""
-    medians = stats.groupBy("lang").agg(*(F.percentile_approx(s, 0.5, 1000).alias(s) for s in STATS))
+    medians = stats.groupBy("lang").agg(F.count("*").alias("n"), *(F.percentile_approx(s, 0.5, 1000).alias(s) for s in STATS))
     spread = stats.join(F.broadcast(medians.select("lang", *(F.col(s).alias(f"m_{s}") for s in STATS))), "lang")
-    centre = {r["lang"]: [r[s] for s in STATS] for r in medians.collect()}
+    found = medians.collect()
+    centre = {r["lang"]: [r[s] for s in STATS] for r in found}
     mads = spread.groupBy("lang").agg(*(F.percentile_approx(F.abs(F.col(s) - F.col(f"m_{s}")), 0.5, 1000).alias(s) for s in STATS))
     width = {r["lang"]: [1.4826 * r[s] + LEAST_DEVIATION for s in STATS] for r in mads.collect()}
     inside = F.lit(False)
@@ -159,7 +161,11 @@ def robust_model(stats: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     for lang in centre:  # a language without a core keeps its medians
         model.setdefault(lang, (np.array(centre[lang]), np.diag(np.array(width[lang]) ** 2)))
     closer = _moments(_distances(model, stats), F.col("distance") <= CHI2_975_8**0.5)
-    return model | closer
+    model |= closer
+    known = [r for r in found if r["lang"] != NO_LANGUAGE]
+    if known:  # texts without common words are held against the prose of the most frequent language
+        model[NO_LANGUAGE] = model[max(known, key=lambda r: (r["n"], r["lang"]))["lang"]]
+    return model
 
 
 def least_breaking(model: dict, policies: dict[str, tuple]) -> dict[tuple[str, str], float]:
