@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Salt of the split buckets (fixed value).
 SALT = "forge-v1"
 
 

@@ -65,7 +65,7 @@ def sample_interleave(spark, d):
     return sampling.interleave(rows, ["source", "split"], 120, F.col("doc_id"))
 
 
-@query(f"with s as (select source, count(*) as n from {_ex} where source is not null group by source), e as (select source, n, 100.0 * n / sum(n) over () as x from s), q as (select source, floor(x) + case when row_number() over (order by x - floor(x) desc, source) <= 100 - sum(floor(x)) over () then 1 else 0 end as quota from e) select source, quota::int as quota from q")
+@query(f"with s as (select source, count(*) as n from {_ex} where source is not null group by source), e as (select source, n, 100.0 * n / sum(n) over () as x from s), q as (select source, case when sum(n) over () <= 100 then n else floor(x) end + case when sum(n) over () > 100 and row_number() over (order by x - floor(x) desc, source) <= 100 - sum(floor(x)) over () then 1 else 0 end as quota from e) select source, quota::int as quota from q")
 def sample_largest_remainder(spark, d):
     sizes = sampling.group_sizes(examples(spark, d), "source")
     return spark.createDataFrame(sorted(sampling.largest_remainder(sizes, 100).items()), "source string, quota int")
