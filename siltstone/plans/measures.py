@@ -235,3 +235,20 @@ def contamination_near(spark, d):
     cross = pairs.where("a like 'e:%' and b like 't:%'")
     best = cross.groupBy("a").agg(F.min_by(F.struct("b", "similarity"), F.struct(F.negative("similarity"), F.col("b"))).alias("x"))
     return best.select(F.substring("a", 3, 100).alias("eval_id"), F.expr("substring(x.b, 3)").alias("train_id"), F.round("x.similarity", 6).alias("similarity"))
+
+
+@query(f"with s as (select score, y_true from {_sc}), h as (select score, row_number() over (order by score) as r, count(*) over () as n from s where y_true = 0), t as (select score as thr from h where r = least(greatest(ceil(0.95 * n) - 1, 0), n - 1) + 1), o as (select score, row_number() over (order by score) - 1 as r, count(*) over () as n from s), p as (select count(*) filter (score <= thr) as pos, greatest(floor(count(*) * 0.1 / 2), 1) as half, count(*) as n from s, t) select round((select min(score) from o where r = greatest(pos - half, 0)), 8) as low, round((select min(score) from o where r = least(pos + half, p.n - 1)), 8) as high from p")
+def decision_abstention_band(spark, d):
+    from siltstone.operators.calibration import abstention_band
+
+    low, high = abstention_band(scored(spark, d).select("y_true", "score"), 0.05, 0.1)
+    return spark.createDataFrame([(round(low, 8), round(high, 8))], "low double, high double")
+
+
+@query()
+def decision_fitted_temperature(spark, d):
+    from siltstone.operators.calibration import fit_temperature
+
+    logit = F.ln(F.col("score") / (1 - F.col("score")))
+    rows = scored(spark, d).where("score > 0 and score < 1").select("y_true", F.lit(0.0).alias("human_logit"), (logit * 3).alias("ai_logit"))
+    return spark.createDataFrame([fit_temperature(rows)], "temperature double, at_edge boolean")

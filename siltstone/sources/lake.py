@@ -61,3 +61,15 @@ def tree_fingerprint(lines: DataFrame, line: str, buckets: int = 4096) -> DataFr
     per = _digest_of_sorted(own, ["bucket"], "_line", "\n", True)
     top = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "sha"))), lambda x: x["sha"]), "\n"), 256)
     return per.agg(F.substring(top, 1, 16).alias("fingerprint"), F.sum("n").alias("n"))
+
+
+def pool_audit(spark, path: str, required: list[str], refused: list[str] = ("generator", "label", "sample_id")) -> DataFrame:
+    """(file, n) per Parquet file of a pool, in order; a pool without the required columns or with a refused one is an error.
+
+    Row counts come from the footers (no column is read).
+    """
+    df = spark.read.parquet(path)
+    missing, marks = sorted(set(required) - set(df.columns)), sorted(set(refused) & set(df.columns))
+    if missing or marks:
+        raise ValueError(f"missing columns {missing}, refused columns {marks}")
+    return df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n")).orderBy("file")

@@ -264,3 +264,25 @@ def test_entry_without_the_subpackage():
         del sys.modules["siltstone.llm"]
         sys.modules.pop("__spark_entry__", None)
         sys.modules.update(hidden)
+
+
+def test_calibration(spark):
+    from siltstone.operators.calibration import abstention_band, fit_temperature
+
+    rng = random.Random(5)
+    rows = []
+    for _ in range(3000):
+        x = rng.gauss(0, 2)
+        rows.append((int(rng.random() < 1 / (1 + math.exp(-x))), 0.0, 2.5 * x))
+    t, edge = fit_temperature(spark.createDataFrame(rows, "y_true int, human_logit double, ai_logit double"))
+    assert abs(t - 2.5) < 0.4 and not edge
+    df = spark.createDataFrame([(i % 2, i / 100) for i in range(100)], "y_true int, score double")
+    low, high = abstention_band(df, 0.1, 0.1)
+    assert 0 <= low <= high <= 1 and abstention_band(df, 0.1, 0.0)[0] == abstention_band(df, 0.1, 0.0)[1]
+
+
+def test_pool_audit(spark, tmp_path):
+    spark.range(5).selectExpr("id as doc_id", "'x' as text").coalesce(1).write.parquet(str(tmp_path / "pool"))
+    assert [r.n for r in lake.pool_audit(spark, str(tmp_path / "pool"), ["doc_id", "text"]).collect()] == [5]
+    with pytest.raises(ValueError):
+        lake.pool_audit(spark, str(tmp_path / "pool"), ["missing"])
