@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import hashing as H
 from siltstone.functions import text as T
-from siltstone.functions.python_udfs import normalize, redact
+from siltstone.functions.python_udfs import normalize_once, redact
 from siltstone.operators import dedup, gates
 from siltstone.runtime import cut, spread
 
@@ -17,7 +17,7 @@ FREE_LICENSES = ["odc-by", "public-domain", "cc0", "cc-by"]
 def gated(raw: DataFrame, policy: gates.CleaningPolicy) -> DataFrame:
     """Records with normalised text, language and the first reason of the gates before redaction (``early``)."""
     text = F.col("clean")
-    rows = raw.select("source_record_id", "source_id", "source_config", "text", "license", "domain", "register", "acquired_at", "upstream_language").withColumn("clean", normalize("text"))
+    rows = raw.select("source_record_id", "source_id", "source_config", "text", "license", "domain", "register", "acquired_at", "upstream_language").withColumn("clean", normalize_once()("text"))
     language, score, detector = T.detect_language(text, F.col("upstream_language.lang"), F.col("upstream_language.score"))
     rows = rows.withColumn("language", language).withColumn("language_score", score).withColumn("detector", detector)
     return rows.withColumn("early", gates.reject_reason(F.col("source_record_id"), text, F.col("language"), F.col("language_score"), policy))
