@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.llm import groupsplit, language, leaks, mixing, neardup, overlap, packing, quality, spam, splitting, tables, tokens
-from siltstone.runtime import cut, table
+from siltstone.runtime import cut, spread, table
 
 QUERIES = {}
 SQL = {}
@@ -46,7 +46,7 @@ def p4_links(spark, d):
 
 def _judged(spark, d):
     raw = table(spark, d, "raw_records").where(tables.has_text()).select(F.col("source_record_id").alias("id"), F.col("source_id").alias("source"), "text")
-    return quality.scored(raw, quality.common_map(table(spark, d, "common_words")), quality.policy_map(table(spark, d, "quality_policy")))
+    return quality.scored(spread(raw), quality.common_map(table(spark, d, "common_words")), quality.policy_map(table(spark, d, "quality_policy")))
 
 
 @query
@@ -64,6 +64,7 @@ def _labelled(spark, d, clean_only):
     raw = raw.select(F.col("source_record_id").alias("id"), F.col("source_id").alias("source"), "text", language.label_language(F.col("upstream_language.lang")).alias("label"))
     common = quality.common_map(table(spark, d, "common_words"))
     model = language.fit(raw, common)
+    raw = spread(raw)
     kept = quality.within_policy(raw, common, quality.policy_map(table(spark, d, "quality_policy"))) if clean_only else raw
     return language.label_paragraphs(kept, model)
 
@@ -85,7 +86,7 @@ def p6_records(spark, d):
 
 def _overlaps(spark, d, least, shingle):
     rows = tables.examples(spark, d).where(F.col("split").isNotNull() & tables.has_text())
-    members, found = overlap.overlaps(rows.select(F.col("doc_id").alias("id"), F.col("split").isin("val", "test").alias("held"), "text"), least, shingle)
+    members, found = overlap.overlaps(spread(rows.select(F.col("doc_id").alias("id"), F.col("split").isin("val", "test").alias("held"), "text")), least, shingle)
     return rows, overlap.as_row_pairs(members, found)
 
 
@@ -124,7 +125,7 @@ def p7_shares(spark, d):
 
 
 def _pages(spark, d):
-    return table(spark, d, "documents").where(tables.has_text()).select("doc_id", language.label_language(F.col("lang")).alias("lang"), "text")
+    return spread(table(spark, d, "documents").where(tables.has_text()).select("doc_id", language.label_language(F.col("lang")).alias("lang"), "text"))
 
 
 def _judged_pages(spark, d):
@@ -143,7 +144,7 @@ def p10_pages(spark, d):
 
 def _pieces(spark, d):
     rows = table(spark, d, "raw_examples").where(tables.has_text()).select("doc_id", "domain", "text", "spans")
-    return splitting.pieces(rows, table(spark, d, "piece_limits"))
+    return splitting.pieces(spread(rows), table(spark, d, "piece_limits"))
 
 
 @query
@@ -161,7 +162,7 @@ def _packs(spark, d):
 
 
 def _containers(spark, d):
-    sizes = tokens.token_counts(table(spark, d, "documents").select("doc_id", "source", "text"))
+    sizes = tokens.token_counts(spread(table(spark, d, "documents").select("doc_id", "source", "text")))
     return packing.containers(cut(sizes).select("doc_id", "n_tokens"), _packs(spark, d))
 
 
@@ -177,7 +178,7 @@ def p8_fill(spark, d):
 
 def _mixed(spark, d):
     name = F.lower(tables.stripped(F.col("source")))
-    sizes = tokens.token_counts(table(spark, d, "documents").select("doc_id", name.alias("source"), "text"))
+    sizes = tokens.token_counts(spread(table(spark, d, "documents").select("doc_id", name.alias("source"), "text")))
     return mixing.mixed(sizes, table(spark, d, "mix_targets").withColumn("source", name))
 
 

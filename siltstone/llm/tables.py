@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.runtime import table
+from siltstone.runtime import spread, table
 
 #: Other spellings of a split (fixed values).
 SPLIT_NAMES = {"validation": "val", "dev": "val", "training": "train"}
@@ -35,9 +35,9 @@ def examples(spark: SparkSession, d: str) -> DataFrame:
 def held_out_items(spark: SparkSession, d: str) -> DataFrame:
     """(id, text) of the held-out raw_examples and of benchmark_docs."""
     own = examples(spark, d).where("split in ('val', 'test')").select(F.col("doc_id").alias("id"), "text")
-    return own.unionByName(table(spark, d, "benchmark_docs").select(F.col("doc_id").alias("id"), "text")).where(has_text())
+    return spread(own.unionByName(table(spark, d, "benchmark_docs").select(F.col("doc_id").alias("id"), "text")).where(has_text()))
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
     """(id, text) of raw_records."""
-    return table(spark, d, "raw_records").select(F.col("source_record_id").alias("id"), "text").where(has_text())
+    return spread(table(spark, d, "raw_records").select(F.col("source_record_id").alias("id"), "text").where(has_text()))
