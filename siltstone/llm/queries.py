@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.llm import groupsplit, language, leaks, mixing, neardup, overlap, packing, quality, spam, splitting, tables, tokens
+from siltstone.functions.text import SPACE, WORD_CHAR
 from siltstone.runtime import cut, spread, table
 
 QUERIES = {}
@@ -190,3 +191,18 @@ def p9_mix(spark, d):
 @query
 def p9_shares(spark, d):
     return mixing.share_report(*_mixed(spark, d))
+
+
+SQL["p3_found"] = f"""select distinct doc_id from raw_examples e left join piece_limits l on l.domain = coalesce(e.domain, 'unknown')
+where doc_id is not null and regexp_matches(text, '[^{SPACE}]') and length(text) > coalesce(l.max_chars, (select max_chars from piece_limits where domain = 'unknown'))"""
+
+_TRIMMED = f"list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')), lambda x: x <> '')"
+SQL["p5_found"] = f"""with c as (select list(distinct word) as common from common_words),
+t as (select source_record_id, source_id, text, {_TRIMMED} as lines, regexp_extract_all(text, '[{WORD_CHAR}]+') as runs from raw_records where source_record_id is not null and regexp_matches(text, '[^{SPACE}]')),
+u as (select *, list_transform(runs, lambda x: lower(x)) as low from t),
+s as (select source_record_id, source_id, length(regexp_replace(text, '[{WORD_CHAR}{SPACE}]', '', 'g')) / length(text)::double as symbols,
+  1 - len(list_distinct(lines)) / len(lines)::double as repeated, coalesce(length(array_to_string(runs, '')) / nullif(len(runs), 0)::double, 0) as mean,
+  coalesce(len(list_distinct(low)) / nullif(len(low), 0)::double, 0) as uniq, len(list_filter(lines, lambda x: regexp_matches(x, '[.!?…]["''”’»)\\]]*$'))) / len(lines)::double as ends,
+  coalesce(len(list_filter(low, lambda x: list_contains(common, x))) / nullif(len(low), 0)::double, 0) as shared from u, c)
+select distinct source_record_id from s join quality_policy p using (source_id) where symbols > max_symbol_ratio or repeated > max_repeated_line_ratio or mean < min_mean_word_length
+  or mean > max_mean_word_length or uniq < min_unique_word_ratio or (ends < min_line_end_ratio and shared < min_common_word_ratio)"""
