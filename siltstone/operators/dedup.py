@@ -105,16 +105,25 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int = 5) -> DataF
     return docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), minhash_signature(F.col(text_col), k).alias("sig")).where("sig is not null")
 
 
+def _nodes(sig: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, sig, node) of each row, and (node, sig, rep) of each distinct signature with its least id."""
+    keyed = cut(sig.withColumn("node", F.xxhash64("sig")))
+    return keyed, cut(keyed.groupBy("node").agg(F.min_by("sig", "id").alias("sig"), F.min("id").alias("rep")))
+
+
+def _band_keys(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
+    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * rows + 1, rows))))
+    return nodes.select("node", band.alias("key"))
+
+
 def banded_pairs(sig: DataFrame, bands: int = 16, rows: int = 8, least: float = 0.8) -> DataFrame:
     """(a, b, similarity), a < b, of signatures that agree in a band and in at least ``least`` of all positions.
 
     Equal signatures are one node of the join (their pairs come from the group's least id), so copies don't
-    multiply the band buckets.
+    multiply the band buckets. That is enough for ``first_wins`` only; between two tables use ``best_matches``.
     """
-    keyed = cut(sig.withColumn("node", F.xxhash64("sig")))
-    nodes = cut(keyed.groupBy("node").agg(F.min_by("sig", "id").alias("sig"), F.min("id").alias("rep")))
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * rows + 1, rows))))
-    keys = nodes.select("node", band.alias("key"))
+    keyed, nodes = _nodes(sig)
+    keys = _band_keys(nodes, bands, rows)
     met = keys.alias("x").join(keys.alias("y"), F.expr("x.key = y.key and x.node < y.node")).select(F.col("x.node").alias("m"), F.col("y.node").alias("n")).distinct()
     left, right = nodes.select(F.col("node").alias("m"), F.col("sig").alias("sa")), nodes.select(F.col("node").alias("n"), F.col("sig").alias("sb"))
     scored = met.join(left, "m").join(right, "n").select("m", "n", estimated_jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= least)
@@ -124,6 +133,21 @@ def banded_pairs(sig: DataFrame, bands: int = 16, rows: int = 8, least: float =
     return across.unionByName(same)
 
 
+def best_matches(left: DataFrame, right: DataFrame, bands: int = 16, rows: int = 8, least: float = 0.8) -> DataFrame:
+    """(id, match, similarity): each ``left`` id's most similar ``right`` id (ties: least id) among those that agree in a band and in ``least`` of all positions.
+
+    Equal signatures are one node on each side: copies multiply neither buckets nor pairs, and every left id of a node gets the node's match.
+    """
+    (keyed, ours), (_, theirs) = _nodes(left), _nodes(right)
+    x, y = _band_keys(ours, bands, rows).withColumnRenamed("node", "m"), _band_keys(theirs, bands, rows).withColumnRenamed("node", "n")
+    met = x.join(y, "key").select("m", "n").distinct()
+    a, b = ours.select(F.col("node").alias("m"), F.col("sig").alias("sa")), theirs.select(F.col("node").alias("n"), F.col("sig").alias("sb"), "rep")
+    scored = met.join(a, "m").join(b, "n").select("m", F.col("rep").alias("match"), estimated_jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= least)
+    best = F.min_by(F.struct("match", "similarity"), F.struct(F.negative("similarity"), F.col("match"))).alias("best")
+    per_node = scored.groupBy(F.col("m").alias("node")).agg(best).select("node", "best.*")
+    return keyed.join(per_node, "node").groupBy("id").agg(best).select("id", "best.*")
+
+
 def first_wins(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, duplicate_of): a row is dropped iff a kept row of smaller id is similar to it; null for kept rows.
 

@@ -227,14 +227,10 @@ def contamination_near(spark, d):
     """Benchmark texts whose estimated similarity to a training text is 0.5 or more (canonical texts, MinHash bands)."""
     from siltstone.functions.python_udfs import normalize
     from siltstone.operators import dedup
-    from siltstone.runtime import cut
-
-    e = table(spark, d, "benchmark_docs").where("text is not null").select(F.concat(F.lit("e:"), "doc_id").alias("id"), normalize("text").alias("text"))
-    t = table(spark, d, "raw_examples").where("text is not null").select(F.concat(F.lit("t:"), "doc_id").alias("id"), normalize("text").alias("text")).dropDuplicates(["id"])
-    pairs = dedup.banded_pairs(cut(dedup.signatures(e.unionByName(t), "id", "text")), 32, 4, 0.5)
-    cross = pairs.where("a like 'e:%' and b like 't:%'")
-    best = cross.groupBy("a").agg(F.min_by(F.struct("b", "similarity"), F.struct(F.negative("similarity"), F.col("b"))).alias("x"))
-    return best.select(F.substring("a", 3, 100).alias("eval_id"), F.expr("substring(x.b, 3)").alias("train_id"), F.round("x.similarity", 6).alias("similarity"))
+
+    e, t = (table(spark, d, name).where("text is not null").select(F.col("doc_id").alias("id"), normalize("text").alias("text")) for name in ("benchmark_docs", "raw_examples"))
+    best = dedup.best_matches(dedup.signatures(e, "id", "text"), dedup.signatures(t, "id", "text"), 32, 4, 0.5)
+    return best.select(F.col("id").alias("eval_id"), F.col("match").alias("train_id"), F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"with s as (select score, y_true from {_sc}), h as (select score, row_number() over (order by score) as r, count(*) over () as n from s where y_true = 0), t as (select score as thr from h where r = least(greatest(ceil(0.95 * n) - 1, 0), n - 1) + 1), o as (select score, row_number() over (order by score) - 1 as r, count(*) over () as n from s), p as (select count(*) filter (score <= thr) as pos, greatest(floor(count(*) * 0.1 / 2), 1) as half, count(*) as n from s, t) select round((select min(score) from o where r = greatest(pos - half, 0)), 8) as low, round((select min(score) from o where r = least(pos + half, p.n - 1)), 8) as high from p")

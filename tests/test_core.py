@@ -126,6 +126,16 @@ def test_near_pairs_and_hamming(spark):
     assert {(r.a, r.b) for r in dedup.hamming_pairs(df).collect()} == want
 
 
+def test_contamination_of_equal_benchmark_texts(spark, tmp_path):
+    from siltstone.plans.measures import contamination_near
+
+    base, other = " ".join(f"w{i}" for i in range(120)), " ".join(f"v{i}" for i in range(120))
+    spark.createDataFrame([("b1", base), ("b2", base), ("b3", "W0  " + base[3:]), ("b4", other), ("b5", None)], "doc_id string, text string").write.parquet(str(tmp_path / "benchmark_docs.parquet"))
+    spark.createDataFrame([("t2", base), ("t1", base), ("t3", " ".join(f"w{i}" for i in range(6, 126))), ("t2", base)], "doc_id string, text string").write.parquet(str(tmp_path / "raw_examples.parquet"))
+    got = contamination_near(spark, str(tmp_path)).collect()
+    assert sorted((r.eval_id, r.train_id, r.similarity) for r in got) == [("b1", "t1", 1.0), ("b2", "t1", 1.0), ("b3", "t1", 1.0)]
+
+
 def test_quotas():
     assert sampling.cap_quotas({"train": 80, "val": 10, "test": 10}, 50) == {"test": 5, "train": 40, "val": 5}
     assert sampling.largest_remainder({"a": 1, "b": 1, "c": 1}, 2) == {"a": 1, "b": 1, "c": 0}
