@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.runtime import cut
+
 NOISE = -1
 
 
@@ -50,17 +55,44 @@ def quality_warnings(summary: DataFrame, max_share: float = 0.5) -> DataFrame:
     return summary.where(F.col("share") > max_share).select("cluster", "share", F.lit("probably several modes merged").alias("warning"))
 
 
-def silhouette(vectors: DataFrame, sample: int = 2000) -> DataFrame:
-    """(silhouette, n) over at most ``sample`` rows of smallest id hash; Euclidean, singletons skipped, null below two clusters.
+def silhouette(vectors: DataFrame, block: int = 4096) -> DataFrame:
+    """(silhouette, n) over all rows against all rows; Euclidean, singletons skipped, null below two clusters, NaN if a point's distances are all 0.
 
-    The sample is the operator's definition and bounds the pairwise part. ``vectors``: (id, cluster, v array<double>).
+    Every pair of blocks of about ``block`` rows is one group; it gives each of its points the sum and number of its
+    distances per cluster. ``vectors``: (id, cluster, v array<double>), ids are unique.
     """
-    s = vectors.where(F.col("cluster") != NOISE).orderBy(F.sha2(F.col("id").cast("string"), 256), "id").limit(sample)
-    d = F.sqrt(F.aggregate(F.zip_with("x.v", "y.v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, q: acc + q))
-    pairs = s.alias("x").join(s.alias("y"), F.col("x.id") != F.col("y.id")).groupBy(F.col("x.id").alias("id"), F.col("x.cluster").alias("own"), F.col("y.cluster").alias("other")).agg(F.avg(d).alias("d"))
-    per = pairs.groupBy("id", "own").agg(F.max(F.when(F.col("own") == F.col("other"), F.col("d"))).alias("a"), F.min(F.when(F.col("own") != F.col("other"), F.col("d"))).alias("b"))
-    ok = per.where("a is not null and b is not null")
-    return ok.agg(F.avg((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette"), F.count("*").alias("n"))
+    s = cut(vectors.where((F.col("cluster") != NOISE) & F.col("v").isNotNull()).select("id", "cluster", "v"))
+    blocks = max(4, -(-s.count() // block))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("z")
+    paired = s.withColumn("own", own).select("*", other).select(F.least("own", "z").alias("i"), F.greatest("own", "z").alias("j"), "own", "id", "cluster", "v")
+    kind = dict(s.dtypes)
+    sums = paired.groupBy("i", "j").applyInArrow(_distance_sums, f"id {kind['id']}, own {kind['cluster']}, other {kind['cluster']}, d double, n long")
+    per = sums.groupBy("id", "own", "other").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+    same = F.col("own") == F.col("other")
+    mean = per.groupBy("id", "own").agg(F.max(F.when(same & (F.col("n") > 1), F.try_divide("d", F.col("n") - 1))).alias("a"), F.min(F.when(~same, F.col("d") / F.col("n"))).alias("b"))
+    ok = mean.where("a is not null and b is not null")
+    score = F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(float("nan")))
+    return ok.agg(F.avg(score).alias("silhouette"), F.count("*").alias("n"))
+
+
+def _distance_sums(pair: pa.Table) -> pa.Table:
+    """Sums and numbers of distances of each point to each cluster of the other block (of its own, itself at 0, if both are one)."""
+    i, j = pair["i"][0].as_py(), pair["j"][0].as_py()
+    sides = [pair.filter(pc.equal(pair["own"], k)).combine_chunks() for k in ([i] if i == j else [i, j])]
+    if not all(len(t) for t in sides):
+        sides = []
+    out = [pa.table({"id": pair["id"][:0], "own": pair["cluster"][:0], "other": pair["cluster"][:0], "d": pa.array([], pa.float64()), "n": pa.array([], pa.int64())})]
+    for x, y in [(t, sides[1 - k] if len(sides) > 1 else t) for k, t in enumerate(sides)]:
+        v, w = (np.asarray(pc.list_flatten(t["v"])).reshape(len(t), -1) for t in (x, y))
+        labels, code = np.unique(np.asarray(y["cluster"]), return_inverse=True)
+        member = np.eye(len(labels))[code]
+        step = max(1, 4_000_000 // w.size)
+        d = np.concatenate([np.sqrt(np.einsum("abc,abc->ab", q, q)) @ member for q in (v[a : a + step, None, :] - w[None] for a in range(0, len(v), step))])
+        rows = np.repeat(np.arange(len(v)), len(labels))
+        took = x.take(pa.array(rows))
+        out.append(pa.table({"id": took["id"], "own": took["cluster"], "other": pa.array(np.tile(labels, len(v)), took["cluster"].type), "d": d.ravel(), "n": np.tile(member.sum(axis=0).astype(np.int64), len(v))}))
+    return pa.concat_tables(out)
 
 
 def kmeans(vectors: DataFrame, k: int, seed: int = 7, iterations: int = 100) -> DataFrame:

@@ -171,6 +171,27 @@ def test_metrics(spark):
         metrics.threshold_at_fpr(df.where("y_true = 1"), 0.1)
 
 
+def test_silhouette_covers_all_rows(spark):
+    rng = np.random.default_rng(4)
+    label = np.array([0] * 1500 + [1] * 700 + [2] * 100 + [3] * 3 + [4] + [-1] * 20)
+    x = rng.normal(size=(len(label), 3)) + label[:, None]
+    real = label != mining.NOISE
+    d = np.sqrt(((x[real][:, None] - x[real][None]) ** 2).sum(-1))
+    mean = {c: d[:, label[real] == c].sum(axis=1) for c in range(5)}
+    size = np.bincount(label[real])
+    scores = []
+    for i, c in enumerate(label[real]):
+        if size[c] > 1:
+            a, b = mean[c][i] / (size[c] - 1), min(mean[o][i] / size[o] for o in range(5) if o != c)
+            scores.append((b - a) / max(a, b))
+    df = spark.createDataFrame([(i, int(c), v.tolist()) for i, (c, v) in enumerate(zip(label, x))], "id long, cluster int, v array<double>")
+    for block in (4096, 300):
+        got = mining.silhouette(df, block=block).first()
+        assert got.n == len(scores) and got.silhouette == pytest.approx(np.mean(scores), abs=1e-9)
+    assert mining.silhouette(df.where("cluster = 0")).first().silhouette is None
+    assert math.isnan(mining.silhouette(df.where("id in (0, 1, 1500)").withColumn("v", F.array(F.lit(1.0)))).first().silhouette)
+
+
 def test_spans(spark):
     n = spark.createDataFrame([(x,) for x in (0, 1, 512, 513, 896, 897)], "n int").select("n", spans.windows(F.col("n")).alias("w"))
     got = {r.n: [(x.start, x.end) for x in r.w] for r in n.collect()}
