@@ -95,11 +95,11 @@ def metric_mcnemar(spark, d):
 
 @query()
 def metric_paired_bootstrap(spark, d):
-    """AUROC difference of two arms over resampled rows: Poisson weights per row and resample, all resamples in one pass."""
+    """AUROC difference of two arms over resampled rows: Poisson weights per row and resample, all 10 000 resamples in one pass."""
     from siltstone.operators.resampling import paired_bootstrap
 
     rows = examples(spark, d).where("label is not null").select("doc_id", F.col("label").alias("y_true"), (uniform(F.col("doc_id"), "score") * 0.7 + F.col("label") * 0.3).alias("a"), (uniform(F.col("doc_id"), "other") * 0.6 + F.col("label") * 0.4).alias("b"))
-    return paired_bootstrap(rows, 200)
+    return paired_bootstrap(rows)
 
 
 _tok = f"(select doc_id, pos, greatest(label, 0) as y_true, case when h % 5 = 0 then (label + 1) % 3 else label end as y_pred from (select doc_id, i as pos, (i / 7)::int % 3 as label, ('0x' || substr(sha256(doc_id || ':' || i), 1, 8))::bigint as h from (select doc_id, unnest(range(0, 40)) as i from {_ex})))"

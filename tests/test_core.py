@@ -192,6 +192,31 @@ def test_silhouette_covers_all_rows(spark):
     assert math.isnan(mining.silhouette(df.where("id in (0, 1, 1500)").withColumn("v", F.array(F.lit(1.0)))).first().silhouette)
 
 
+def test_paired_bootstrap_is_exact(spark):
+    from siltstone.operators.resampling import paired_bootstrap, weights
+
+    rng = random.Random(6)
+    rows = [(f"d{i}", i % 2, 1 - rng.random() * 1e-5 + (i % 2) * 2e-6, rng.choice([-3.0, 1.0, 1.0, 1.0, 4.5]) + (i % 2) * 0.5 * (i % 3)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id string, y_true int, a double, b double")
+    w = np.array([weights(k, 40) for k, *_ in rows])
+    y = np.array([r[1] for r in rows])
+
+    def area(s):
+        s = np.array(s)
+        wins = (s[:, None] > s[None]) + (s[:, None] == s[None]) / 2
+        p, n = w * (y == 1)[:, None], w * (y == 0)[:, None]
+        return np.einsum("ir,ij,jr->r", p, wins, n) / (p.sum(axis=0) * n.sum(axis=0))
+
+    d = area([r[3] for r in rows]) - area([r[2] for r in rows])
+    got = paired_bootstrap(df, 40).first()
+    exact = [metrics.auroc(df.withColumnRenamed(c, "score")).first()[0] for c in "ab"]
+    assert got.difference == pytest.approx(exact[1] - exact[0], abs=1e-12) and got.resamples == 40
+    assert (got.low, got.high) == pytest.approx(tuple(np.percentile(d[:-1], [2.5, 97.5])), abs=1e-12)
+    few = df.where("doc_id in ('d0', 'd1', 'd2', 'd3', 'd4', 'd5')")
+    w = np.array([weights(f"d{i}", 10_000)[:-1] for i in range(6)])
+    assert paired_bootstrap(few).first().resamples == ((w[::2].sum(axis=0) > 0) & (w[1::2].sum(axis=0) > 0)).sum() > 9000 * (1 - math.exp(-3)) ** 2
+
+
 def test_spans(spark):
     n = spark.createDataFrame([(x,) for x in (0, 1, 512, 513, 896, 897)], "n int").select("n", spans.windows(F.col("n")).alias("w"))
     got = {r.n: [(x.start, x.end) for x in r.w] for r in n.collect()}
