@@ -202,6 +202,49 @@ def as_row_pairs(members: DataFrame, found: DataFrame) -> DataFrame:
     return found.join(a, "train").join(b, "record").where("train_id <> held_id").select("train_id", "held_id", "similarity", "coverage").dropDuplicates(["train_id", "held_id"])
 
 
+def _run_places(shingle: int, known=None):
+    """(cls, words) -> (cls, pos, key): every run of a text; with a filter only those it has."""
+
+    def scan(rows):
+        hashes = WordHashes()
+        for batch in rows:
+            texts = batch.column(1).to_pylist()
+            for a, b in batches(texts):
+                split = [text.split(" ") for text in texts[a:b]]
+                keys, owner, pos = run_fingerprints(hashes.of([w for own in split for w in own]), np.array([len(own) for own in split]), shingle)
+                if known is not None and len(keys):
+                    at = np.flatnonzero(bloom.might_have(known, keys))
+                    keys, owner, pos = keys[at], owner[at], pos[at]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner + a, pa.int64())), pa.array(pos, pa.int32()), pa.array(keys.view(np.int64))], ["cls", "pos", "key"])
+
+    return scan
+
+
+def record_coverage(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """(id, n_words, covered, coverage, intervals): each held-out record, with the word intervals of it (start, end) that its runs found in any training text cover.
+
+    Inputs as for ``overlaps``. Training texts needn't be similar to the record: the intervals are merged over all of them,
+    but for those of its own id. Records without a run found have coverage 0.
+    """
+    worded = cut(_worded(docs))
+    own = F.when(~F.col("held"), F.col("id"))
+    classes = cut(worded.groupBy("cls").agg(F.first("words").alias("words"), F.max("held").alias("held"), F.min(own).alias("lo"), F.max(own).alias("hi")))
+    runs = cut(classes.where("held").select("cls", "words").mapInArrow(_run_places(shingle), "cls long, pos int, key long"))
+    known = bloom.build(runs.select("key"), runs.count())
+    train = classes.where("lo is not null").select("cls", "words").mapInArrow(_run_places(shingle, known), "cls long, pos int, key long").select("cls", "key")
+    keys = train.join(classes.select("cls", "lo", "hi"), "cls").groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    records = worded.where("held").select("id", "cls", "n_words").distinct()
+    # least and greatest training id of a run: one at least is another's, unless only the record's own id has it
+    found = records.select("id", "cls").join(runs.join(keys, "key"), "cls").where("lo <> id or hi <> id").select("id", "cls", "pos")
+    along = Window.partitionBy("id", "cls").orderBy("pos")
+    apart = F.coalesce((F.col("pos") - F.lag("pos").over(along) > shingle).cast("int"), F.lit(0))
+    island = found.withColumn("apart", apart).withColumn("island", F.sum("apart").over(along)).groupBy("id", "cls", "island").agg(F.min("pos").alias("start"), (F.max("pos") + shingle).alias("end"))
+    per = island.groupBy("id", "cls").agg(F.sum(F.col("end") - F.col("start")).alias("covered"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("intervals"))
+    covered = F.coalesce("covered", F.lit(0))
+    none = F.expr("array()").cast("array<struct<start:int,end:int>>")
+    return records.join(per, ["id", "cls"], "left").select("id", "n_words", covered.alias("covered"), (covered / F.col("n_words")).alias("coverage"), F.coalesce("intervals", none).alias("intervals"))
+
+
 def overlap_counts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Per split and source of the held-out rows: (split, source, n_rows, n_overlapping, n_train). ``docs``: (id, split, source)."""
     per = pairs.groupBy(F.col("held_id").alias("id")).agg(F.count("*").alias("n"))

@@ -103,6 +103,12 @@ def p2_counts(spark, d):
     return overlap.overlap_counts(pairs, rows.select(F.col("doc_id").alias("id"), "split", "source"))
 
 
+@query
+def p2_coverage(spark, d):
+    rows = tables.examples(spark, d).where(F.col("split").isNotNull() & tables.has_text())
+    return overlap.record_coverage(spread(rows.select(F.col("doc_id").alias("id"), F.col("split").isin("val", "test").alias("held"), "text")), 3).withColumnRenamed("id", "doc_id")
+
+
 def _related(spark, d):
     return tables.examples(spark, d).select(
         F.col("doc_id").alias("id"), F.nullif(F.lower(tables.stripped(F.col("source_group_id"))), F.lit("")).alias("group"), F.col("source_human_id").alias("parent"), "split"

@@ -141,6 +141,15 @@ def test_overlaps_equal_brute_force(spark, monkeypatch):
     assert m.count() == f.count() == 0
 
 
+def test_coverage_is_merged_over_training_texts(spark):
+    w = lambda c, n: [f"{c}{i}" for i in range(n)]
+    record = w("a", 30) + w("b", 30) + w("c", 30)
+    docs = [("r1", True, record), ("r2", True, w("x", 40)), ("r3", True, w("y", 25)), ("r3", False, w("y", 25)), ("t1", False, w("p", 400) + record[5:20] + w("q", 300)), ("t2", False, w("s", 90) + record[15:40]), ("t3", False, record[70:90] + w("u", 200)), ("t4", False, record[50:52] + w("v", 50))]
+    got = {r.id: r for r in overlap.record_coverage(spark.createDataFrame([(i, h, " ".join(t)) for i, h, t in docs], "id string, held boolean, text string"), 3).collect()}
+    assert {i: ([(x.start, x.end) for x in r.intervals], r.covered) for i, r in got.items()} == {"r1": ([(5, 40), (70, 90)], 55), "r2": ([], 0), "r3": ([], 0)}
+    assert got["r1"].coverage == pytest.approx(55 / 90)
+
+
 # ---- p3 ----
 @pytest.mark.parametrize("text", [prose(1, 900), ". ".join(prose(i, 12).capitalize() for i in range(80)), "x" * 5000, "é" * 3000, "a\r\n" * 2000, "word " * 10, "\n\n".join(prose(i, 60) + "." for i in range(12))])
 def test_pieces_are_within_the_limit_and_overlap(text):
