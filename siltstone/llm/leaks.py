@@ -31,11 +31,11 @@ HITS_PER_BLOCK = 500_000
 SHARD_BITS = 12
 
 
-def suffixes(docs: DataFrame, run: int = RUN, known=None) -> DataFrame:
+def suffixes(docs: DataFrame, run: int = RUN, known=None, every: bool = False) -> DataFrame:
     """(key, id, pos) of the word suffixes with at least ``run`` words of ``docs`` (id string, text).
 
     ``known``: a Bloom filter; suffixes whose key it doesn't have are dropped. A run that occurs
-    more than once in a text counts at its first place. Null ids and null texts give nothing.
+    more than once in a text counts at its first place, unless ``every`` place is asked for. Null ids and null texts give nothing.
     """
 
     def scan(rows):
@@ -52,7 +52,7 @@ def suffixes(docs: DataFrame, run: int = RUN, known=None) -> DataFrame:
                 if known is not None and len(keys):
                     at = np.flatnonzero(bloom.might_have(known, keys))
                     keys, owner, pos = keys[at], owner[at], pos[at]
-                if len(keys):
+                if len(keys) and not every:
                     at = first_of_each(owner, keys)
                     at.sort()
                     keys, owner, pos = keys[at], owner[at], pos[at]
@@ -102,17 +102,19 @@ def _search(rows):
         at += HITS_PER_BLOCK
 
 
-def hits(records: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
+def hits(records: DataFrame, items: DataFrame, run: int = RUN, every: bool = False) -> DataFrame:
     """(record_id, item_id, record_pos, item_pos): each run of ``run`` words that both have. Inputs: (id, text).
 
+    With ``every``, at all pairs of its places; else at its first place in both.
+
     Positions count words. Empty inputs and texts of fewer words give no rows; rows repeated under
     one id give their hits once.
     """
     spark = records.sparkSession
-    test = cut(suffixes(items, run).dropDuplicates(["key", "id"]))
+    test = cut(suffixes(items, run, every=every).dropDuplicates(["key", "id", "pos"] if every else ["key", "id"]))
     n_test = test.count()
     known = bloom.build(test, n_test)
-    train = cut(suffixes(records, run, known))
+    train = cut(suffixes(records, run, known, every))
     shard = F.shiftrightunsigned("key", 64 - SHARD_BITS).cast("int")
     sizes = train.groupBy(shard.alias("shard")).count()  # at most 2**SHARD_BITS rows
     salts = F.broadcast(sizes.select("shard", F.ceil(F.col("count") / ROWS_PER_SHARD).cast("int").alias("salts")))
@@ -127,7 +129,7 @@ def matches(records: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
     """Maximal verbatim matches: (record_id, item_id, record_pos, item_pos, match_words), words counted from 0."""
     from pyspark.sql import Window
 
-    one = hits(records, items, run).withColumn("diagonal", F.col("record_pos") - F.col("item_pos")).dropDuplicates(["record_id", "item_id", "diagonal", "item_pos"])
+    one = hits(records, items, run, every=True).withColumn("diagonal", F.col("record_pos") - F.col("item_pos")).dropDuplicates(["record_id", "item_id", "diagonal", "item_pos"])
     along = Window.partitionBy("record_id", "item_id", "diagonal").orderBy("item_pos")
     island = one.withColumn("island", F.col("item_pos") - F.row_number().over(along))
     return (

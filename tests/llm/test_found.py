@@ -111,6 +111,15 @@ def brute_pairs(docs, least, k, allowed=lambda a, b: True):
     return sorted((a, b) for a in sets for b in sets if a < b and allowed(a, b) and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]))
 
 
+def test_matches_have_all_places_of_a_repeated_passage(spark):
+    head, a, b = ([f"{c}{i}" for i in range(n)] for c, n in (("h", 40), ("a", 30), ("b", 60)))
+    record, item = spark.createDataFrame([("r", " ".join(head + a + head + b))], "id string, text string"), spark.createDataFrame([("t", " ".join(head + b))], "id string, text string")
+    got = {(m.record_pos, m.item_pos, m.match_words) for m in leaks.matches(record, item).collect()}
+    assert got == {(0, 0, 40), (70, 0, 100)}
+    best = leaks.leak_report(record, item).first()
+    assert (best.longest_words, best.record_pos, best.item_pos) == (100, 70, 0)
+
+
 def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 4)  # the family is a hot group, split into blocks
     monkeypatch.setattr(neardup, "SAMPLE_ONE_IN", 1)
