@@ -88,19 +88,19 @@ def p6_records(spark, d):
 def _overlaps(spark, d, least, shingle):
     rows = tables.examples(spark, d).where(F.col("split").isNotNull() & tables.has_text())
     members, found = overlap.overlaps(spread(rows.select(F.col("doc_id").alias("id"), F.col("split").isin("val", "test").alias("held"), "text")), least, shingle)
-    return rows, overlap.as_row_pairs(members, found)
+    return rows, members, found
 
 
 @query
 def p2_found(spark, d):
-    _, pairs = _overlaps(spark, d, 0.6, 3)
-    return pairs.select(F.least("train_id", "held_id").alias("doc_id_a"), F.greatest("train_id", "held_id").alias("doc_id_b"))
+    _, members, found = _overlaps(spark, d, 0.6, 3)
+    return overlap.as_row_pairs(members, found).select(F.least("train_id", "held_id").alias("doc_id_a"), F.greatest("train_id", "held_id").alias("doc_id_b")).distinct()
 
 
 @query
 def p2_counts(spark, d):
-    rows, pairs = _overlaps(spark, d, 0.6, 3)
-    return overlap.overlap_counts(pairs, rows.select(F.col("doc_id").alias("id"), "split", "source"))
+    rows, members, found = _overlaps(spark, d, 0.6, 3)
+    return overlap.overlap_counts(members, found, rows.select(F.col("doc_id").alias("id"), "split", "source"))
 
 
 @query

@@ -52,6 +52,10 @@ def test_bloom_has_all_its_keys(spark):
     assert bloom.might_have(shared, keys.view(np.uint64)).all()
     other = np.random.default_rng(2).integers(-(2**63), 2**63 - 1, 5000)
     assert bloom.might_have(shared, other.view(np.uint64)).mean() < 0.1
+    often = np.repeat(keys, np.where(np.arange(5000) % 2, 1, 16))
+    shared = bloom.build(spark.createDataFrame([(int(k),) for k in often], "key long"), 5000, levels=True)
+    level = bloom.level_of(shared, keys.view(np.uint64))
+    assert (level[::2] >= 4).all() and (level[1::2] == 0).mean() > 0.2
 
 
 # ---- p1 ----
@@ -146,6 +150,13 @@ def test_overlaps_equal_brute_force(spark, monkeypatch):
     got = sorted(tuple(sorted((r.train_id, r.held_id))) for r in overlap.as_row_pairs(members, found).collect())
     assert got == brute_pairs([(i, t) for i, _, t in dict((d[0], d) for d in docs).values() if side[i] is not None], 0.6, 3, lambda a, b: side[a] != side[b])
     assert all(0.6 <= r.similarity <= 1 and r.coverage >= 0.6 for r in found.collect())
+    pairs = overlap.as_row_pairs(members, found).collect()
+    monkeypatch.setattr(overlap, "SPLIT_LEVEL", 0)  # every run on two texts is split into blocks
+    members, found = overlap.overlaps(df, 0.6, 3)
+    assert sorted(map(tuple, pairs)) == sorted(map(tuple, overlap.as_row_pairs(members, found).collect()))
+    splits = df.select("id", F.when(F.col("held"), "val").otherwise("train").alias("split"), F.lit("s").alias("source")).where("id <> 'no_side'")
+    counts = overlap.overlap_counts(members, found, splits).first()
+    assert counts.n_train == len(pairs) and counts.n_overlapping == len({p.held_id for p in pairs}) and counts.n_rows == len({i for i, h in side.items() if h})
     m, f = overlap.overlaps(df.limit(0))
     assert m.count() == f.count() == 0
 
