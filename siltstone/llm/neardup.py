@@ -71,7 +71,7 @@ def signed(docs: DataFrame, shingle: int = 3, least_words: int = LEAST_WORDS, ba
                 if lengths:
                     runs, owner, _ = run_fingerprints(hashes.of(tokens), np.array(lengths), shingle)
                     first = first_of_each(owner, runs)
-                    weights = np.diff(np.append(_starts(owner, runs), len(runs))).astype(float) if weighted else None
+                    weights = _occurrences(owner, runs)[first].astype(float) if weighted else None
                     n = np.bincount(owner[first], minlength=len(lengths))
                     keys = band_keys(signatures(runs[first], owner[first], len(lengths), bands * rows, weights), bands, rows)
                 where = np.where(fresh, np.cumsum(fresh) - 1, -1)
@@ -83,12 +83,15 @@ def signed(docs: DataFrame, shingle: int = 3, least_words: int = LEAST_WORDS, ba
     return docs.where("id is not null and text is not null").select("id", "text").mapInArrow(scan, "id string, cls long, n int, keys array<long>")
 
 
-def _starts(owner: np.ndarray, runs: np.ndarray) -> np.ndarray:
+def _occurrences(owner: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """How often each (owner, run) occurs, at each of its places."""
     order = np.lexsort((runs, owner))
     o, r = owner[order], runs[order]
-    new = np.ones(len(o), dtype=bool)
-    new[1:] = (o[1:] != o[:-1]) | (r[1:] != r[:-1])
-    return np.flatnonzero(new)
+    starts = np.flatnonzero(np.concatenate(([True], (o[1:] != o[:-1]) | (r[1:] != r[:-1])))) if len(o) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(o)))
+    out = np.empty(len(o), dtype=np.int64)
+    out[order] = np.repeat(sizes, sizes)
+    return out
 
 
 def _pairs_within(least: float):

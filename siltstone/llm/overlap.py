@@ -9,8 +9,8 @@ Every training text is read whole, against a Bloom filter of the held-out runs:
 similar at ``least`` shares ``ceil(least * n)`` of them, so texts with fewer in the filter are done. Scanning
 each of the others with each shard would be quadratic, so they are routed: both sides order their runs
 alike (runs not held out first, then by how often they are held out, from counters broadcast with the filter, then by
-fingerprint), and a similar pair shares one of the first ``n - ceil(least * n) + 1``. No similar pair is lost that
-way, and nothing but fingerprints is shuffled for it; the words travel only for texts that met a record.
+fingerprint), and a similar pair shares SHARED of the first ``n - ceil(least * n) + SHARED`` at least (or all it must share, if
+that is less). No similar pair is lost that way, and nothing but fingerprints is shuffled for it; the words travel only for texts that met a record.
 
 A run that many texts have is split: both sides know its level from the counters and spread
 it over blocks of either side. Texts with equal words are one class, routed and scanned once. Shards many texts
@@ -37,6 +37,8 @@ RECORDS_PER_SHARD = 200
 TEXTS_PER_PART = 5_000
 KEYS_PER_TASK = 1_500_000
 PAIRS_PER_BATCH = 500_000
+#: How many of their first runs two texts must share to be routed.
+SHARED = 4
 #: Runs on more than ``2 ** SPLIT_LEVEL`` texts of a side are split into blocks of about so many.
 SPLIT_LEVEL = 12
 MOST_SEEN = 2_000_000
@@ -134,7 +136,7 @@ def _screened(shingle: int, least: float, known):
                     enough = hits >= _needed(n, least)
                     on = np.flatnonzero(had & enough[owner])
                     keys, owner = keys[on], owner[on]
-                    pick = _firsts(keys, owner, bloom.level_of(known, keys), hits - _needed(n, least) + 1)
+                    pick = _firsts(keys, owner, bloom.level_of(known, keys), hits - _needed(n, least) + SHARED)
                     keys, owner = keys[pick], owner[pick]
                     for k in np.flatnonzero(enough):
                         lo, hi = np.searchsorted(owner, [k, k + 1])
@@ -191,7 +193,7 @@ def _held_cells(shingle: int, least: float, known, known_too):
             classes, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             for a, b in batches(texts):
                 keys, owner, n = _distinct_runs(hashes, [t.split(" ") for t in texts[a:b]], shingle)
-                at = _firsts(keys, owner, bloom.level_of(known, keys), n - _needed(n, least) + 1)
+                at = _firsts(keys, owner, bloom.level_of(known, keys), n - _needed(n, least) + SHARED)
                 at = at[bloom.might_have(known_too, keys[at])]
                 keys, owner = keys[at], owner[at]
                 yield _cells(keys, classes[a:b][owner], n[owner], True, known, known_too, level)
@@ -200,7 +202,10 @@ def _held_cells(shingle: int, least: float, known, known_too):
 
 
 def _met(least: float):
-    """(train, record) classes with a key in common whose numbers of runs allow the similarity; a partition comes sorted by key."""
+    """(train, record, need, n): how many keys of a batch two classes have in common whose numbers of runs allow the similarity, and how many they need.
+
+    A partition comes sorted by key.
+    """
 
     def emit(key, held, cls, n):
         order = np.lexsort((cls, held, key))
@@ -218,8 +223,12 @@ def _met(least: float):
             j = right[low[i] + flat - (ends[i] - (high - low)[i])]
             i = left[i]
             ok = np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9
-            pairs = np.unique(np.column_stack((cls[i[ok]], cls[j[ok]])), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["train", "record"])
+            i, j = i[ok], j[ok]
+            both = mix(cls[i].view(np.uint64) + mix(cls[j].view(np.uint64)))
+            _, first, times = np.unique(both, return_index=True, return_counts=True)
+            i, j = i[first], j[first]
+            need = np.minimum(SHARED, _needed(np.maximum(n[i], n[j]), least))
+            yield pa.RecordBatch.from_arrays([pa.array(cls[i]), pa.array(cls[j]), pa.array(need.astype(np.int32)), pa.array(times.astype(np.int64))], ["train", "record", "need", "n"])
             at += PAIRS_PER_BATCH
 
     def stream(rows):
@@ -329,7 +338,8 @@ def overlaps(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> tuple[Dat
     cell = "key long, held boolean, cls long, n int"
     cells = texts.where("words is not null").select("cls", "n", "keys").mapInArrow(_training_cells(known, known_too), cell).unionByName(worded.select("cls", "words").mapInArrow(_held_cells(shingle, least, known, known_too), cell))
     cells = cells.repartition(shuffle_width(spark, 2 * n_keys, KEYS_PER_TASK), "key").sortWithinPartitions("key")
-    routes = cut(cells.mapInArrow(_met(least), "train long, record long").distinct())
+    shared = cells.mapInArrow(_met(least), "train long, record long, need int, n long").groupBy("train", "record", "need").agg(F.sum("n").alias("n"))
+    routes = cut(shared.where("n >= need").select("train", "record"))
 
     sizes = routes.agg(F.count_distinct("record").alias("r"), F.count("*").alias("n")).first()
     shard = F.pmod(F.xxhash64("record"), F.lit(max(1, math.ceil(sizes["r"] / RECORDS_PER_SHARD)))).cast("int")
