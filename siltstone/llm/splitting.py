@@ -2,7 +2,8 @@
 
 Lexical cohesion: at every sentence end in a size window the words of the block before and of the block after are
 compared (cosine of their counts); the depth of the valley a boundary lies in says how much the topic changes
-there. The deepest valley in the window, from half the limit to the limit, is the cut; paragraph ends count as deeper.
+there. The deepest valley in the window, from half the limit to the limit, is the cut; paragraph ends (a blank line, with or
+without a sentence end before it) count as deeper.
 Without a sentence end it is the last line end, else the last blank, else the limit itself (never between a
 letter and its combining mark or inside CRLF, where that can be helped). The next piece starts ``overlap``
 code points before the cut.
@@ -24,6 +25,7 @@ CHUNK = 512
 
 WORD = re.compile(r"[^\W_]{4,}")
 BOUNDARY = re.compile(r"""\n[^\S\n]*\n\s*|[.!?…]["'”’»)\]]*\s+""")
+BLANK_LINE = re.compile(r"\n[^\S\n]*\n")
 BLANK = re.compile(r"\s+")
 
 
@@ -60,8 +62,10 @@ def cut_points(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]
         return [(0, n, "end")]
     if limit < 1:
         raise ValueError("max_chars must be at least 1")
-    overlap = max(0, min(overlap, limit // 2))
-    found = [(m.end(), m.group()[0] == "\n") for m in BOUNDARY.finditer(text)]
+    overlap = max(0, overlap)
+    if overlap >= limit:
+        raise ValueError("the overlap must be below max_chars")
+    found = [(m.end(), BLANK_LINE.search(m.group()) is not None) for m in BOUNDARY.finditer(text)]
     ends = np.array([e for e, _ in found], dtype=np.int64)
     paragraph = np.array([p for _, p in found], dtype=bool)
     if len(ends):
@@ -115,9 +119,11 @@ def pieces(docs: DataFrame, limits: DataFrame) -> DataFrame:
 
     ``docs``: (doc_id string, domain, text, spans); ``limits``: (domain, max_chars, overlap_chars), a small fixed table
     whose row ``unknown`` is for a null domain and for domains it doesn't have. Null ids and null or blank texts are
-    left out, rows repeated under one id count once; an overlap over half the limit is cut to that.
+    left out, rows repeated under one id count once. A limit below 1 or an overlap that isn't below its limit is an error.
     """
     known = {r["domain"]: (r["max_chars"], r["overlap_chars"] or 0) for r in limits.where("domain is not null and max_chars is not null").collect()}
+    if any(most < 1 or over >= most for most, over in known.values()):
+        raise ValueError("every max_chars must be at least 1 and above its overlap_chars")
     own = F.lit(known.get("unknown", (None, 0))[0])
     for domain, (most, _) in known.items():
         own = F.when(F.col("domain") == domain, most).otherwise(own)
