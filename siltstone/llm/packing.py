@@ -94,7 +94,10 @@ def containers(items: DataFrame, packs: list[tuple[str, int]]) -> DataFrame:
     sizes = cut(rest.groupBy("pack", "length", "bucket").agg(F.count("*").alias("n")))
     before = sizes.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("pack", "length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
-    starts, bases, sharers = [], [], []  # of the plan's slots, in order of (pack, length, rank)
+    # the plan's slots in order of (pack, length, rank); the items of a (pack, length) are numbered on from those of the one before
+    span = 1 + max((int(c) for _, c in packs), default=0)
+    groups, firsts, starts, bases, sharers = [], [], [], [], []
+    numbered = 0
     for i, (_, capacity) in enumerate(packs):
         counts = {r["length"]: r["n"] for r in sizes.where(F.col("pack") == i).groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
         used: dict[int, int] = {}
@@ -106,17 +109,20 @@ def containers(items: DataFrame, packs: list[tuple[str, int]]) -> DataFrame:
                 used[length] = used.get(length, 0) + k * repeats
             made += repeats
         for length in sorted(slots):
+            groups.append(i * span + length)
+            firsts.append(numbered)
             for first, container, k in slots[length]:
-                starts.append((i << 58) + (length << 40) + first)
+                starts.append(numbered + first)
                 bases.append(container)
                 sharers.append(k)
-    shared = spark.sparkContext.broadcast((np.array(starts, np.int64), np.array(bases, np.int64), np.array(sharers, np.int64)))
+            numbered += used[length]
+    shared = spark.sparkContext.broadcast(tuple(np.array(x, np.int64) for x in (groups, firsts, starts, bases, sharers)))
 
     def place(rows):
-        first, base, share = shared.value
+        group, number, first, base, share = shared.value
         for batch in rows:
             pack, length, rank = (batch.column(j).to_numpy(zero_copy_only=False).astype(np.int64) for j in range(3))
-            code = (pack << 58) + (length << 40) + rank
+            code = number[np.searchsorted(group, pack * span + length)] + rank
             at = np.searchsorted(first, code, "right") - 1
             container = base[at] + (code - first[at]) // share[at]
             yield pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(container, pa.int64())], ["pack_id", "doc_id", "piece_no", "token_start", "token_end", "number"])
