@@ -98,18 +98,22 @@ def tied_across_splits(rows: DataFrame) -> DataFrame:
 def assign_splits(rows: DataFrame, shares: tuple[float, float, float] = SHARES) -> DataFrame:
     """(id, root, split): components go whole to train, val or test, so that the rows come to about ``shares``.
 
-    Components of more than a hundredth of all rows go to train, whose share of the rest is less by
-    as much. The others are stratified by size band (powers of two, largest first), ordered by hash within
-    a band, and dealt systematically: the i-th takes place ``frac(i * golden ratio)`` on the unit interval,
-    on which the splits have their shares. No rows, no splits; equal components are told apart by root.
+    Components of more than a hundredth of all rows, of which there are fewer than a hundred, go one by one, the largest first, to the split that lacks
+    most rows. The others are stratified by size band (powers of two, largest first), ordered by hash within
+    a band, and dealt systematically: the i-th takes place ``frac(i * golden ratio)`` on the unit interval, on which the
+    splits have the shares they still lack. No rows, no splits; equal components are told apart by root.
     """
     of = cut(components(rows))
     total = max(1, of.count())
     sizes = cut(of.groupBy("root").agg(F.count("*").alias("n")).withColumn("large", F.col("n") > total / 100))
-    large = sizes.where("large").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    rest = max(1, total - large)
-    val, test = (min(1.0, share * total / rest) for share in shares[1:])
-    train = max(0.0, 1.0 - val - test)
+    lacking = [share * total for share in shares]
+    placed = F.lit(None).cast("string")
+    for r in sizes.where("large").orderBy(F.desc("n"), "root").collect():
+        k = lacking.index(max(lacking))
+        lacking[k] -= r["n"]
+        placed = F.when(F.col("root") == r["root"], SPLITS[k]).otherwise(placed)
+    lacking = [max(0.0, x) for x in lacking]
+    train, val, _ = (x / (sum(lacking) or 1.0) for x in lacking)
     banded = sizes.where("not large").select("root", F.floor(F.log2("n")).cast("int").alias("band"), F.pmod(F.xxhash64("root"), F.lit(1024)).cast("int").alias("bucket"))
     # numbers by (band, bucket) sums, at most 64 x 1024 rows, and ranks within buckets: no global sort of the roots
     sums = banded.groupBy("band", "bucket").agg(F.count("*").alias("k"))
@@ -118,4 +122,4 @@ def assign_splits(rows: DataFrame, shares: tuple[float, float, float] = SHARES)
     number = F.col("base") + F.row_number().over(within)
     place = F.pmod(number * F.lit(0.6180339887498949), F.lit(1.0))
     dealt = banded.join(F.broadcast(before.select("band", "bucket", "base")), ["band", "bucket"]).select("root", F.when(place < train, SPLITS[0]).when(place < train + val, SPLITS[1]).otherwise(SPLITS[2]).alias("split"))
-    return of.join(dealt, "root", "left").select("id", "root", F.coalesce("split", F.lit(SPLITS[0])).alias("split"))
+    return of.join(dealt, "root", "left").select("id", "root", F.coalesce("split", placed).alias("split"))
