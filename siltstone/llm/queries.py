@@ -183,10 +183,10 @@ def p8_fill(spark, d):
     return packing.fill_report(_containers(spark, d), _packs(spark, d))
 
 
-def _mixed(spark, d):
+def _mixed(spark, d, keep="size"):
     name = F.lower(tables.stripped(F.col("source")))
     sizes = tokens.token_counts(spread(table(spark, d, "documents").select("doc_id", name.alias("source"), "text")))
-    return mixing.mixed(sizes, table(spark, d, "mix_targets").withColumn("source", name))
+    return mixing.mixed(sizes, table(spark, d, "mix_targets").withColumn("source", name), keep)
 
 
 @query
@@ -194,9 +194,15 @@ def p9_mix(spark, d):
     return _mixed(spark, d)[0]
 
 
+@query
+def p9_mix_shares(spark, d):
+    return _mixed(spark, d, "shares")[0]
+
+
 @query
 def p9_shares(spark, d):
-    return mixing.share_report(*_mixed(spark, d))
+    one, other = (mixing.share_report(*_mixed(spark, d, keep)).withColumn("keep", F.lit(keep)) for keep in ("size", "shares"))
+    return one.unionByName(other)
 
 
 SQL["p3_found"] = f"""select distinct doc_id from raw_examples e left join piece_limits l on l.domain = coalesce(e.domain, 'unknown')
