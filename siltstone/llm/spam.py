@@ -1,13 +1,16 @@
 """Problem 10: keyword-stuffed, link-list and tag pages by block-wise compression.
 
-A text is cut into blocks: long lines (in parts of at most BLOCK_CHARS), and runs of short lines of one kind
-(link or tag entries, others) between blank lines. Link entries, address lines, breadcrumbs, hashtags and product
-lines are written as one sign each before a block is compressed, so that a list of them is as redundant as
-a repeated keyword. The block's ratio (compressed bytes to bytes of the block as it stands) is divided by
-the median ratio of punctuated blocks of its language and length class in the collection; far below that
-is extreme redundancy, and few sentence ends confirm it (refrains have many). An end counts if its sentence has at
-least SENTENCE_COMMON different common words, so that keywords with full stops between them have none.
-A page is spam if such blocks hold more than SHARE of its characters.
+A text is cut into blocks: long lines (in parts of at most BLOCK_CHARS), and runs of short lines between blank lines; what is
+shorter than LEAST_CHARS is gathered into blocks of its own, and left unmeasured if that is still too short to compress.
+A block is compressed twice: as it stands, which shows repeated words, and coded, which shows repeated forms. Coded
+means that common words stay (they carry sentences), every run of other words becomes one sign, digits inside a token become a 9
+and all else stays, numbers that stand alone included; words joined by case changes count as several. So a list of links or tags is
+as redundant as its marks are, whatever its words, while figures and sentences keep their information.
+
+Both ratios (compressed bytes to bytes of the block as it stands) are divided by the median of punctuated blocks of the
+language and length class in the collection; far below that is extreme redundancy, and few sentence ends confirm it (refrains
+have many). An end counts if its sentence has at least SENTENCE_COMMON different common words, so that keywords
+with full stops between them have none. A page is spam if such blocks hold more than SHARE of its characters.
 """
 
 from __future__ import annotations
@@ -24,81 +27,72 @@ from siltstone.runtime import cut
 
 BLOCK_CHARS = 1000
 SHORT_LINE = 160
-MOST_RATIO = 0.68
+LEAST_CHARS = 64
+#: Limits of the two relative ratios.
+MOST_RATIO, MOST_CODED = 0.75, 0.76
 MOST_ENDS = 0.012
 SHARE = 0.45
 PROSE_ENDS = 0.02
 SENTENCE_COMMON = 3
 LEAST_BLOCKS = 30
-#: zlib's fixed cost in bytes, and the usual ratio of prose by binary logarithm of the length for
+#: zlib's fixed cost in bytes, and the usual ratios of prose by binary logarithm of the length for
 #: classes with too few blocks (fixed values).
 OVERHEAD = 8
-USUAL_RATIO = {5: 0.95, 6: 0.8, 7: 0.68, 8: 0.61, 9: 0.55, 10: 0.5}
+USUAL_RATIO = {6: 0.8, 7: 0.68, 8: 0.61, 9: 0.55, 10: 0.5}
+USUAL_CODED = {6: 0.32, 7: 0.28, 8: 0.25, 9: 0.21, 10: 0.19}
 
-SIGN = "§"
 ENDS = re.compile(r"""[.!?…]["'”’»)\]]*(?=\s|$)""")
 WORDS = re.compile(r"\w+")
 LETTERS = re.compile(r"[^\W\d_]+")
-ANCHOR = re.compile(r"<a\s[^<>]*>[^<]*</a>|\[[^\]\n]*\]\([^)\s]*\)")
-MAY_LINK = re.compile(r"://|www\.|[a-z0-9]\.[a-z]")
-ADDRESS = re.compile(r"""(?:https?://|www\.)[^\s<>"'()\[\]|]+|(?<![\w@.])(?:[a-z0-9-]+\.)+[a-z]{2,}(?:/[^\s<>"'()\[\]|]*)?(?![\w.])""")
-CRUMBS = re.compile(r"[^»›.!?\n]{1,60}(?:\s[»›]\s[^»›.!?\n]{1,60})+")
-HASHTAG = re.compile(r"#\w+")
-TAG_LIST = re.compile(r"^(?:\s*<[^<>]*>)*\W*(?:tags?|keywords?)\s*:", re.IGNORECASE)
-NUMBERING = re.compile(r"^\s*\d{1,4}[.)]\s+")
-CRUMB_CHARS = 45
-CODE = re.compile(r"\b[A-Z]{2,5}-\d{1,6}\b")
-FIELD = re.compile(r"\s[/|·;-]\s")
-
-
-def signed_line(line: str) -> str:
-    """The line with its link, tag and product entries as signs."""
-    n_crumbs = line.count("»") + line.count("›")
-    if TAG_LIST.match(line) or (CODE.search(line) and len(FIELD.findall(line)) >= 2):
-        return SIGN
-    if n_crumbs >= 3 and n_crumbs * CRUMB_CHARS >= len(line) and not ENDS.search(line):
-        return SIGN * n_crumbs
-    out = NUMBERING.sub("", line)
-    if MAY_LINK.search(line) or "](" in line or "<a " in line:
-        out = ADDRESS.sub(SIGN, ANCHOR.sub(SIGN, out))
-        n = out.count(SIGN)
-        if n and not ENDS.search(out) and len(out) - n <= 60 * n:
-            return SIGN * n
-    if n_crumbs and CRUMBS.fullmatch(out):
-        return SIGN
-    return HASHTAG.sub(SIGN, out) if "#" in out else out
-
-
-def blocks(text: str) -> list[tuple[str, str]]:
-    """(block, block with signs) in order; blank lines are in none."""
-    out: list[tuple[str, str]] = []
-    run: list[tuple[str, str]] = []
-    kind = None
-
-    def close():
-        nonlocal run, kind
-        if run:
-            out.append(("\n".join(a for a, _ in run), "\n".join(b for _, b in run)))
-        run, kind = [], None
+CASE_CHANGE = re.compile(r"(?<=[a-zß-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ])")
+INNER_DIGITS = re.compile(r"(?<=[^\s\d.,:])\d+|\d+(?=[^\s\d.,:])")
+OTHER_WORDS = re.compile(r"\x01(?: \x01)*")
+
+
+def coded(block: str, common: frozenset[str]) -> str:
+    """The block with common words, numbers and marks as they are, inner digits as 9 and runs of other words as one sign."""
+
+    def word(m):
+        w = m.group().lower()
+        return w if w in common else "\x01"
+
+    return OTHER_WORDS.sub("\x01", INNER_DIGITS.sub("9", LETTERS.sub(word, CASE_CHANGE.sub(" ", block))))
+
+
+def blocks(text: str) -> list[str]:
+    """The blocks of a text in order, those gathered from short ones last; blank lines are in none."""
+    out: list[str] = []
+    small: list[str] = []
+    run: list[str] = []
+    size = 0
+    ended = False
+
+    def close(lines: list[str]):
+        block = "\n".join(lines)
+        (small if len(block) < LEAST_CHARS else out).append(block)
 
     for raw in text.split("\n"):
         line = raw.strip()
-        if not line:
-            close()
-        elif len(line) >= SHORT_LINE:
-            close()
-            tags = TAG_LIST.match(line) and not ENDS.search(line)
+        ends = bool(line) and ENDS.search(line, max(0, len(line) - 4)) is not None
+        if run and (not line or len(line) >= SHORT_LINE or size > BLOCK_CHARS or ends != ended):
+            close(run)
+            run, size = [], 0
+        if len(line) >= SHORT_LINE:
             for part in parts(line):
-                out.append((part, SIGN if tags else signed_line(part)))
-        else:
-            own = signed_line(line)
-            own_kind = own.strip(SIGN + " ") == ""
-            if run and (own_kind != kind or sum(len(a) for a, _ in run) > BLOCK_CHARS):
-                close()
-            run.append((line, own))
-            kind = own_kind
-    close()
-    return out
+                close([part])
+        elif line:
+            run.append(line)
+            size += len(line)
+        ended = ends
+    if run:
+        close(run)
+    gathered: list[str] = []
+    for block in small:
+        gathered.append(block)
+        if sum(map(len, gathered)) > BLOCK_CHARS:
+            out.append("\n".join(gathered))
+            gathered = []
+    return out + ["\n".join(gathered)] if gathered else out
 
 
 def parts(line: str) -> list[str]:
@@ -116,56 +110,68 @@ def parts(line: str) -> list[str]:
     return out
 
 
-def sentence_ends(signs: str, common: frozenset[str]) -> int:
+def sentence_ends(text: str, common: frozenset[str]) -> int:
     """Number of sentences that end and have enough common words."""
     n = at = 0
-    for end in ENDS.finditer(signs):
-        n += len(common.intersection(LETTERS.findall(signs[at : end.start()].lower()))) >= SENTENCE_COMMON
+    for end in ENDS.finditer(text):
+        n += len(common.intersection(LETTERS.findall(text[at : end.start()].lower()))) >= SENTENCE_COMMON
         at = end.end()
     return n
 
 
+def packed(text: str) -> int:
+    return max(0, len(zlib.compress(text.encode("utf-8", "replace"), 6)) - OVERHEAD)
+
+
 def block_measures(pages: DataFrame, common: frozenset[str]) -> DataFrame:
-    """(doc_id, block_no, lang, chars, size_class, ratio, ends) of each block of ``pages`` (doc_id bigint, lang, text).
+    """(doc_id, block_no, lang, chars, size_class, ratio, coded, ends) of each block of ``pages`` (doc_id bigint, lang, text).
 
-    ``ends``: sentence ends per word. Null and blank texts have no blocks.
+    ``ends``: sentence ends per word. Blocks too short to compress have null ratios. Null and blank texts have no blocks.
     """
 
     def scan(rows):
         for batch in rows:
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(8)]
             for doc, lang, text in zip(*(c.to_pylist() for c in batch.columns)):
-                for k, (block, signs) in enumerate(blocks(text)):
+                for k, block in enumerate(blocks(text)):
                     size = len(block.encode("utf-8", "replace"))
-                    packed = max(0, len(zlib.compress(signs.lower().encode("utf-8", "replace"), 6)) - OVERHEAD)
-                    row = (doc, k, lang, len(block), int(math.log2(size)), packed / size, sentence_ends(signs, common) / max(1, len(WORDS.findall(block))))
+                    both = (packed(block.lower()) / size, packed(coded(block, common)) / size) if len(block) >= LEAST_CHARS else (None, None)
+                    row = (doc, k, lang, len(block), int(math.log2(size)), *both, sentence_ends(block, common) / max(1, len(WORDS.findall(block))))
                     for c, v in zip(cols, row):
                         c.append(v)
-            types = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "block_no", "lang", "chars", "size_class", "ratio", "ends"])
+            types = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "block_no", "lang", "chars", "size_class", "ratio", "coded", "ends"])
 
-    schema = "doc_id long, block_no int, lang string, chars int, size_class int, ratio double, ends double"
+    schema = "doc_id long, block_no int, lang string, chars int, size_class int, ratio double, coded double, ends double"
     return pages.where("doc_id is not null and text is not null").select("doc_id", "lang", "text").mapInArrow(scan, schema)
 
 
 def judged_blocks(pages: DataFrame, common: frozenset[str]) -> DataFrame:
-    """The blocks with ``relative`` ratio and ``spam``; ``common``: the common words of all languages, lower case."""
+    """The blocks with both ``relative`` ratios and ``spam``; ``common``: the common words of all languages, lower case."""
     measured = cut(block_measures(pages, common))
-    prose = measured.where(F.col("ends") >= PROSE_ENDS)
-    own = prose.groupBy("lang", "size_class").agg(F.percentile_approx("ratio", 0.5, 1000).alias("m"), F.count("*").alias("n")).where(F.col("n") >= LEAST_BLOCKS).select(F.coalesce("lang", F.lit("")).alias("l"), "size_class", F.col("m").alias("own"))
-    every = prose.groupBy("size_class").agg(F.percentile_approx("ratio", 0.5, 1000).alias("m"), F.count("*").alias("n")).where(F.col("n") >= LEAST_BLOCKS).select("size_class", F.col("m").alias("every"))
-    usual = F.lit(0.45)
-    for size, ratio in sorted(USUAL_RATIO.items(), reverse=True):
-        usual = F.when(F.col("size_class") == size, ratio).otherwise(usual)
-    usual = F.when(F.col("size_class") < min(USUAL_RATIO), 1.0).otherwise(usual)
-    both = measured.withColumn("l", F.coalesce("lang", F.lit(""))).join(F.broadcast(own), ["l", "size_class"], "left").join(F.broadcast(every), "size_class", "left").drop("l")
-    relative = F.col("ratio") / F.coalesce("own", "every", usual)
-    return both.withColumn("relative", relative).withColumn("spam", (F.col("relative") < MOST_RATIO) & (F.col("ends") < MOST_ENDS)).drop("own", "every")
+    prose = measured.where((F.col("ends") >= PROSE_ENDS) & F.col("ratio").isNotNull())
+
+    def medians(suffix: str, *by: str) -> DataFrame:
+        per = prose.groupBy(*by).agg(*(F.percentile_approx(c, 0.5, 1000).alias(c + suffix) for c in ("ratio", "coded")), F.count("*").alias("n"))
+        return F.broadcast(per.where(F.col("n") >= LEAST_BLOCKS).drop("n"))
+
+    own = medians("_own", "lang", "size_class").select(F.coalesce("lang", F.lit("")).alias("l"), "size_class", "ratio_own", "coded_own")
+    both = measured.withColumn("l", F.coalesce("lang", F.lit(""))).join(F.broadcast(own), ["l", "size_class"], "left").join(medians("_every", "size_class"), "size_class", "left").drop("l")
+
+    def relative(c: str, usual: dict[int, float]):
+        least, most = min(usual), max(usual)
+        fixed = F.element_at(F.create_map(*(F.lit(x) for kv in usual.items() for x in kv)), F.least(F.greatest("size_class", F.lit(least)), F.lit(most)))
+        return F.col(c) / F.coalesce(f"{c}_own", f"{c}_every", fixed)
+
+    both = both.withColumn("relative", relative("ratio", USUAL_RATIO)).withColumn("relative_coded", relative("coded", USUAL_CODED))
+    redundant = (F.col("relative") < MOST_RATIO) | (F.col("relative_coded") < MOST_CODED)
+    return both.withColumn("spam", F.coalesce(redundant & (F.col("ends") < MOST_ENDS), F.lit(False))).drop("ratio_own", "coded_own", "ratio_every", "coded_every")
 
 
 def judged_pages(pages: DataFrame, common: frozenset[str]) -> DataFrame:
-    """(doc_id, n_blocks, n_spam_blocks, spam_share, lowest, is_spam) of each page with text; equal ids count together."""
+    """(doc_id, n_blocks, n_spam_blocks, spam_share, lowest, lowest_coded, is_spam) of each page with text; equal ids count together."""
     per = judged_blocks(pages, common).groupBy("doc_id").agg(
-        F.count("*").alias("n_blocks"), F.count_if("spam").alias("n_spam_blocks"), (F.sum(F.when(F.col("spam"), F.col("chars")).otherwise(0)) / F.sum("chars")).alias("spam_share"), F.min("relative").alias("lowest")
-    )
+        F.count("*").alias("n_blocks"), F.count_if("spam").alias("n_spam_blocks"), (F.sum(F.when(F.col("spam"), F.col("chars")).otherwise(0)) / F.sum("chars")).alias("spam_share"),
+        F.min("relative").alias("lowest"), F.min("relative_coded").alias("lowest_coded"),
+    )
     return per.withColumn("is_spam", F.col("spam_share") > SHARE)
