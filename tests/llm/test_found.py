@@ -65,6 +65,7 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
     recs = [(f"r{i}", prose(100 + i, 30) + " " + passages[i % 4][: 400 if i % 3 else 60] + " " + prose(200 + i, 20)) for i in range(24)]
     recs += [recs[0], ("r_null", None), (None, passages[0]), ("r_empty", ""), ("r_same", passages[1]), ("r_loop", "tic " * 300)]
     items = [(f"t{i}", p) for i, p in enumerate(passages)] + [("t_short", "one two"), ("t_null", None), ("t_loop", "tic " * 50)]
+    recs += [("r_two", " ".join(passages[0].split()[:30] + passages[1].split()[:35]))]
     r, t = spark.createDataFrame(recs, "id string, text string"), spark.createDataFrame(items, "id string, text string")
     want = sorted({(a, b) for a, x in recs for b, y in items if a and x and y and runs(x, 24) & runs(y, 24)})
     assert rows(leaks.leaked_pairs(r, t)) == want
@@ -187,6 +188,26 @@ def test_cuts_prefer_the_change_of_topic():
     assert kind == "sentence" and abs(cut - len(a)) <= 2
 
 
+def test_paragraph_ends_are_preferred():
+    text = " ".join(prose(i, 9).capitalize() + "." for i in range(20))
+    at = text.index(". ", 900) + 1
+    for gap in ("\n\n", "\r\n \r\n"):
+        broken = text[:at] + gap + text[at + 1 :]
+        (_, cut, kind), *_ = splitting.cut_points(broken, 1200, 0)
+        assert (cut, kind) == (at + len(gap), "paragraph")
+
+
+def test_large_overlaps_are_kept_and_impossible_ones_refused(spark):
+    text = prose(5, 300)
+    pieces = splitting.cut_points(text, 400, 350)
+    assert all(b[0] == a[1] - 350 for a, b in zip(pieces, pieces[1:])) and all(b - a <= 400 for a, b, _ in pieces)
+    with pytest.raises(ValueError):
+        splitting.cut_points(text, 400, 400)
+    docs = spark.createDataFrame([("a", "web", text, None)], "doc_id string, domain string, text string, spans array<struct<start_char:int,end_char:int,label:string>>")
+    with pytest.raises(ValueError):
+        splitting.pieces(docs, spark.createDataFrame([("web", 10, 10)], "domain string, max_chars int, overlap_chars int"))
+
+
 def test_pieces_carry_spans(spark):
     text = prose(3, 400)
     span = lambda a, b: {"start_char": a, "end_char": b, "label": "human"}
@@ -324,6 +345,14 @@ def test_assigned_shares(spark):
     assert abs(n["train"] - 2400) < 60 and abs(n["val"] - 300) < 40 and abs(n["test"] - 300) < 40
 
 
+def test_large_components_go_where_rows_are_lacking(spark):
+    df = spark.range(1000).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") < 300, "a").when(F.col("id") < 600, "b").when(F.col("id") < 650, "c").alias("group"), F.lit(None).cast("string").alias("parent"))
+    done = groupsplit.assign_splits(df, (0.3, 0.3, 0.4)).join(df.select("id", "group"), "id")
+    assert {r.group: r.split for r in done.where("group is not null").select("group", "split").distinct().collect()} == {"a": "test", "b": "train", "c": "val"}
+    n = {r.split: r["count"] for r in done.groupBy("split").count().collect()}
+    assert abs(n["train"] - 300) < 20 and abs(n["val"] - 300) < 20 and abs(n["test"] - 400) < 20
+
+
 # ---- p8 ----
 def test_best_fill_is_the_best():
     rng = random.Random(8)
@@ -353,6 +382,9 @@ def test_containers_hold_everything_once(spark, monkeypatch):
             p = sorted(parts[doc])
             assert [x for a, b in p for x in (a, b)] == ([x for k in range(0, n, capacity) for x in (k, min(n, k + capacity))] if n else [])
         assert sum(fill.values()) / (len(fill) * capacity) > 0.97
+    large = packing.containers(spark.createDataFrame([(i, n) for i, n in enumerate([1_000, 290_000, 300_000, 10_000, 300_001, 7])], "doc_id long, n_tokens long"), [(f"p{i}", 300_000 * (i % 2 + 1)) for i in range(40)])
+    fill = large.groupBy("pack_id", "container_id").agg(F.sum(F.col("token_end") - F.col("token_start")).alias("n")).collect()
+    assert all(r.n <= 300_000 * (int(r.pack_id[1:]) % 2 + 1) for r in fill) and sum(r.n for r in fill) == 40 * 901_008
     assert packing.containers(spark.createDataFrame([], "doc_id long, n_tokens long"), [("a", 64)]).count() == 0
     with pytest.raises(ValueError):
         packing.containers(spark.createDataFrame(items, "doc_id long, n_tokens long"), [("a", 0)])
@@ -376,16 +408,35 @@ def test_mix_reaches_its_shares(spark, monkeypatch):
     docs = [(i, "abc"[i % 3], 10 + i % 40) for i in range(600)] + [(1000, None, 50), (1001, "a", 0)]
     targets = [("m", "a", 0.5, 2, 1.0), ("m", "b", 0.2, 4, 1.0), ("m", "c", 0.1, 1, 1.0), ("m", "absent", 0.2, 3, 1.0), ("big", "a", 1.0, 2, 1.0)]
     df, t = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long"), spark.createDataFrame(targets, "mix_id string, source string, target_share double, max_repeats int, total_factor double")
-    chosen, goals = mixing.mixed(df, t)
-    report = {(r.mix_id, r.source): r for r in mixing.share_report(chosen, goals).collect()}
-    for key in (("m", "a"), ("m", "b"), ("m", "c")):
-        assert abs(report[key].actual_tokens - report[key].target_tokens) <= 50 and not report[key].short
-    assert report["m", "absent"].actual_tokens == 0 and report["m", "absent"].short and report["big", "a"].short
-    caps = {(m, s): r for m, s, _, r, _ in targets}
-    seen = chosen.collect()
-    assert all(1 <= r.repeats <= caps[r.mix_id, r.source] for r in seen) and len({(r.mix_id, r.doc_id) for r in seen}) == len(seen)
-    assert sorted(map(tuple, mixing.mixed(df, t)[0].collect())) == sorted(map(tuple, seen))
+    most = 50
+    for keep in ("size", "shares"):
+        chosen, goals = mixing.mixed(df, t, keep)
+        report = {(r.mix_id, r.source): r for r in mixing.share_report(chosen, goals).collect()}
+        assert all(abs(r.actual_tokens - r.goal_tokens) <= most for r in report.values())
+        assert report["m", "absent"].actual_tokens == 0 and report["m", "absent"].short and report["big", "a"].short
+        total = sum(n for _, _, n in docs)
+        m = [report["m", x] for x in "abc"]
+        if keep == "size":  # the absent source's tokens come from the others, by their shares
+            assert abs(m[0].mix_tokens - total) <= 3 * most and m[2].goal_tokens == pytest.approx(total * 0.1 / 0.8)
+        assert all(r.goal_share == pytest.approx(r.target_share / 0.8) and abs(r.actual_share - r.goal_share) * r.mix_tokens <= 3 * most for r in m)
+        caps = {(m, s): r for m, s, _, r, _ in targets}
+        seen = chosen.collect()
+        assert all(1 <= r.repeats <= caps[r.mix_id, r.source] for r in seen) and len({(r.mix_id, r.doc_id) for r in seen}) == len(seen)
+        assert sorted(map(tuple, mixing.mixed(df, t, keep)[0].collect())) == sorted(map(tuple, seen))
+        reached = collections.Counter()
+        for r in seen:
+            reached[r.mix_id, r.source] += r.n_tokens * r.repeats
+        assert all(reached[k] == r.actual_tokens for k, r in report.items())
     assert mixing.mixed(df.limit(0), t)[0].count() == 0
+    odd = spark.createDataFrame([("m", "a", None, None, None), (None, "a", 1.0, 1, 1.0), ("m", "b", 0.5, None, None), ("m", "b", 0.5, 2, 1.0)], t.schema)
+    chosen, goals = mixing.mixed(df, odd)
+    assert {(r.source, r.target_share, r.max_repeats) for r in goals.collect()} == {("a", 0.0, 1), ("b", 1.0, 1)} and {r.source for r in chosen.collect()} == {"b"}
+
+
+def test_goals_of_a_mix():
+    assert mixing.aimed([(0.5, 1000), (0.3, 10), (0.2, 1000), (0.0, 9), (0.1, 0)], 100, "size") == pytest.approx([90 * 5 / 7, 10, 90 * 2 / 7, 0, 0])
+    assert mixing.aimed([(0.5, 1000), (0.3, 10), (0.2, 1000)], 100, "shares") == pytest.approx([50 / 3, 10, 20 / 3])
+    assert mixing.aimed([(0.5, 3), (0.5, 4)], 100, "size") == [3, 4] and mixing.aimed([], 5, "size") == []
 
 
 # ---- p10 ----
@@ -408,7 +459,22 @@ def test_spam_pages(spark):
     assert 9 not in out and 10 not in out and spam.judged_pages(df.limit(0), EN).count() == 0
 
 
+def test_lists_without_spam_stay(spark):
+    rng = random.Random(6)
+    names = lambda: "".join(rng.choice(["bri", "do", "ves", "ka", "lun", "or", "ti", "gwe", "pel", "mar"]) for _ in range(3)).title() + rng.choice(["stead", "wick", "low", "by"])
+    times = "\n".join(f"{rng.randrange(24):02d}:{rng.randrange(60):02d}  {names()}  platform {rng.randrange(9)}" for _ in range(30))
+    food = "\n".join(f"{rng.randrange(10, 990)} g {rng.choice(WORDS)} {rng.choice(['flour', 'butter', 'seeds', 'oil', 'peel'])}" for _ in range(12))
+    terms = "\n".join(f"{names()}: the {rng.choice(WORDS)} by the {rng.choice(WORDS)} that was kept for the {rng.choice(WORDS)}." for _ in range(12))
+    products = "\n".join(f"{rng.choice(WORDS)} {rng.choice(WORDS)} / {rng.choice(['new', 'sale'])} / {rng.randrange(99)} cm / SKU {rng.choice('ABC') * 3}-{rng.randrange(999)} / in stock" for _ in range(20))
+    crumbs = "\n".join(f"{names()} » {names()} {rng.choice(WORDS)} » {names()}" for _ in range(20))
+    pages = {1: times, 2: food, 3: terms, 4: products, 5: crumbs, 6: "Page not found"}
+    out = {r.doc_id: r.is_spam for r in spam.judged_pages(spark.createDataFrame([(k, "en", v) for k, v in pages.items()], "doc_id long, lang string, text string"), EN).collect()}
+    assert out == {1: False, 2: False, 3: False, 4: True, 5: True, 6: False}
+
+
 def test_blocks_keep_all_characters():
-    text = "x" * 2500 + "\nshort\n\n" + "word " * 500
-    kept = "".join(b for b, _ in spam.blocks(text))
-    assert len(re.sub(r"\s", "", kept)) == len(re.sub(r"\s", "", text)) and all(len(b) <= 1300 for b, _ in spam.blocks(text))
+    text = "x" * 2500 + "\nshort\n\n" + "word " * 500 + "\n\n".join(f"line {i}" for i in range(400))
+    kept = "".join(spam.blocks(text))
+    squeezed = lambda x: sorted(re.sub(r"\s", "", x))
+    assert squeezed(kept) == squeezed(text) and all(len(b) <= 1300 for b in spam.blocks(text))
+    assert spam.coded("The #BigOak at www.oak-x12.test/a 12:30, 45 of it", frozenset(["the", "at", "of", "it"])) == "the #\x01 at \x01.\x01-\x019.\x01/\x01 12:30, 45 of it"
