@@ -29,7 +29,7 @@ BLOCK_CHARS = 1000
 SHORT_LINE = 160
 LEAST_CHARS = 64
 #: Limits of the two relative ratios.
-MOST_RATIO, MOST_CODED = 0.75, 0.76
+MOST_RATIO, MOST_CODED = 0.72, 0.74
 MOST_ENDS = 0.012
 SHARE = 0.45
 PROSE_ENDS = 0.02
