@@ -30,7 +30,7 @@ _length_reason = f"case when length(text) < 200 then 'too_short_chars' when {_to
 _quality_reason = f"case when {_symbols} > 0.20 then 'high_symbol_ratio' when {_repeated} > 0.30 then 'repetitive_lines' when not ({_mean} between 2.5 and 12.0) then 'anomalous_word_length' when {_unique} < 0.20 then 'low_lexical_diversity' end"
 _schema_reason = f"case when doc_id is null or text is null or {_trim('text')} = '' then 'empty_or_unidentified' end"
 _reason = f"coalesce({_schema_reason}, {_length_reason}, case when lang is null or lang <> 'en' then 'language' end, {_quality_reason})"
-_split = lambda g: f"case when ('0x' || substr(sha256({g} || 'forge-v1'), 1, 8))::bigint % 10000 < 8000 then 'train' when ('0x' || substr(sha256({g} || 'forge-v1'), 1, 8))::bigint % 10000 < 9000 then 'val' else 'test' end"
+_split = lambda g: f"case when ('0x' || substr(sha256({g} || '{H.SALT}'), 1, 8))::bigint % 10000 < 8000 then 'train' when ('0x' || substr(sha256({g} || '{H.SALT}'), 1, 8))::bigint % 10000 < 9000 then 'val' else 'test' end"
 
 
 def documents(spark, d):

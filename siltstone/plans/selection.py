@@ -42,21 +42,28 @@ def sample_cap_per_split(spark, d):
     return sampling.cap_per_group(examples(spark, d).where("split is not null").select(F.lower(F.trim("split")).alias("split"), "doc_id"), "split", "doc_id", 300)
 
 
-@query()
+_cell = f"split || '|' || (case when {_tokens} >= 1100 then 6 when {_tokens} >= 750 then 5 when {_tokens} >= 500 then 4 when {_tokens} >= 350 then 3 when {_tokens} >= 250 then 2 when {_tokens} >= 150 then 1 else 0 end)"
+
+
+@query(
+    f"""with c as (select doc_id, label, {_cell} as cell from {_ex} where text is not null and split is not null), h as (select cell, count(*) as m from c where label = 0 group by cell), a as (select cell, count(*) as n from c where label = 1 group by cell),
+q as (select cell, coalesce(n, 0) as n, least(floor(150.0 * coalesce(m, 0) / (select sum(m) from h)), coalesce(n, 0)) as first from a full join h using (cell)),
+u as (select cell, unnest(range(1, (n - first)::bigint + 1)) as round, n - first as spare from q), more as (select cell, count(*) as k from (select cell from u order by round, spare desc, cell limit (select greatest(150 - sum(first), 0)::bigint from q)) group by cell),
+t as (select cell, case when sum(n) over () <= 150 then n else first + coalesce(k, 0) end as quota from q left join more using (cell))
+select cell, doc_id from (select cell, doc_id, quota, row_number() over (partition by cell order by sha256('cap:' || doc_id), doc_id) as r from (select * from c where label = 1) join t using (cell)) where r <= quota"""
+)
 def sample_length_matched(spark, d):
     """Machine rows capped to 150 with the length shape of the human rows, per (split, length bin)."""
     rows = examples(spark, d).where("text is not null and split is not null").select("doc_id", "label", F.concat_ws("|", "split", T.length_bin(T.token_count(F.col("text"))).cast("string")).alias("cell"))
     ai, human = rows.where("label = 1"), rows.where("label = 0")
-    quotas = sampling.matched_quotas(sampling.group_sizes(ai, "cell"), sampling.group_sizes(human, "cell"), 150)
+    quotas = sampling.matched_quotas(sampling.group_sizes(ai, "cell"), sampling.group_sizes(human, "cell"), "cell", 150)
     return sampling.by_quota(ai, "cell", quotas, sampling.hash_order(F.col("doc_id"), "cap:"), F.col("doc_id")).select("cell", "doc_id")
 
 
 @query(f"with c as (select label, split || '|' || (case when {_tokens} >= 1100 then 6 when {_tokens} >= 750 then 5 when {_tokens} >= 500 then 4 when {_tokens} >= 350 then 3 when {_tokens} >= 250 then 2 when {_tokens} >= 150 then 1 else 0 end) as cell from {_ex} where text is not null and split is not null), h as (select cell, count(*) as n from c where label = 0 group by cell), a as (select cell, count(*) as n from c where label = 1 group by cell) select min(floor(coalesce(a.n, 0) * (select sum(n) from h) / h.n))::bigint as budget from h left join a using (cell)")
 def sample_matched_budget(spark, d):
     rows = examples(spark, d).where("text is not null and split is not null").select("label", F.concat_ws("|", "split", T.length_bin(T.token_count(F.col("text"))).cast("string")).alias("cell"))
-    per = rows.groupBy("cell").agg(F.count_if(F.expr("label = 1")).alias("a"), F.count_if(F.expr("label = 0")).alias("h")).where("h > 0")
-    total = F.sum("h").over(Window.partitionBy(F.lit(1)))
-    return per.select(F.floor(F.col("a") * total / F.col("h")).alias("b")).agg(F.min("b").alias("budget"))
+    return sampling.matched_budget(*(sampling.group_sizes(rows.where(F.col("label") == label), "cell") for label in (1, 0)), "cell")
 
 
 @query(f"select source, split, doc_id from (select *, row_number() over (partition by source, split order by doc_id) as r from {_ex} where split is not null and source is not null) order by r, source, split limit 120")
@@ -67,8 +74,7 @@ def sample_interleave(spark, d):
 
 @query(f"with s as (select source, count(*) as n from {_ex} where source is not null group by source), e as (select source, n, 100.0 * n / sum(n) over () as x from s), q as (select source, case when sum(n) over () <= 100 then n else floor(x) end + case when sum(n) over () > 100 and row_number() over (order by x - floor(x) desc, source) <= 100 - sum(floor(x)) over () then 1 else 0 end as quota from e) select source, quota::int as quota from q")
 def sample_largest_remainder(spark, d):
-    sizes = sampling.group_sizes(examples(spark, d), "source")
-    return spark.createDataFrame(sorted(sampling.largest_remainder(sizes, 100).items()), "source string, quota int")
+    return sampling.largest_remainder(sampling.group_sizes(examples(spark, d), "source"), "source", 100)
 
 
 @query("select vec_id, label, confidence from (select vec_id, label, confidence, row_number() over (partition by label order by confidence desc, vec_id) as r from (select vec_id, label, ('0x' || substr(sha256(vec_id::varchar), 1, 8))::bigint / 4294967296.0 as confidence from embeddings)) where r <= 7")
@@ -81,20 +87,31 @@ def _failures(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.col("label").alias("cluster"), (H.hex_number(F.sha2(F.col("vec_id").cast("string"), 256), 8) / 4294967296.0).alias("confidence"))
 
 
-@query("select cluster, ('0x' || substr(sha256('cluster_' || cluster || '|forge-v1'), 1, 8))::bigint / 4294967295.0 < 0.25 as held_out from (select distinct label as cluster from embeddings)")
+def _cluster_parts(sizes):
+    return sampling.cluster_holdout([r["cluster"] for r in sizes.orderBy(F.desc("n"), "cluster").collect()])  # clusters are few
+
+
+_place = f"('0x' || substr(sha256('cluster_' || cluster || '|{H.SALT}'), 1, 8))::bigint / 4294967295.0"
+
+
+@query(f"select cluster, ('0x' || substr(sha256('cluster_' || cluster || '|{H.SALT}'), 1, 8))::bigint / 4294967295.0 < 0.25 as held_out from (select distinct label as cluster from embeddings)")
 def select_cluster_holdout(spark, d):
-    sizes = sampling.group_sizes(_failures(spark, d), "cluster")
-    train, held = sampling.cluster_holdout(sorted(sizes, key=lambda c: (-sizes[c], c)))
+    train, held = _cluster_parts(sampling.group_sizes(_failures(spark, d), "cluster"))
     return spark.createDataFrame([(c, c in held) for c in sorted(train + held)], "cluster long, held_out boolean")
 
 
-@query()
+@query(
+    f"""with f as (select vec_id, label as cluster, ('0x' || substr(sha256(vec_id::varchar), 1, 8))::bigint as confidence from embeddings), z as (select cluster, count(*) as n, {_place} < 0.25 as held from f group by cluster),
+q as (select cluster, n, least(n, 10) as low, (150 - sum(least(n, 10)) over ()) * n / (sum(n) over ())::double as x from z where not held), w as (select *, least(n, low + floor(x)) as part, x - floor(x) as frac from q), o as (select *, row_number() over (order by part >= n, frac desc, cluster) as k, 150 - sum(part) over () as spare from w),
+t as (select cluster, part + case when part < n and k <= spare then 1 else 0 end as quota from o)
+select vec_id, cluster, 'train' as part from (select vec_id, cluster, quota, row_number() over (partition by cluster order by confidence desc, vec_id) as r from f join t using (cluster)) where r <= quota union all select vec_id, cluster, 'holdout' from f join z using (cluster) where held"""
+)
 def select_proportional(spark, d):
     """Most confident errors per training cluster by floor and largest remainder, and all of the held-out clusters."""
     rows = _failures(spark, d)
     sizes = sampling.group_sizes(rows, "cluster")
-    train, held = sampling.cluster_holdout(sorted(sizes, key=lambda c: (-sizes[c], c)))
-    quotas = sampling.proportional_quotas({c: sizes[c] for c in train}, 150)
+    train, held = _cluster_parts(sizes)
+    quotas = sampling.proportional_quotas(sizes.where(F.col("cluster").isin(train)), "cluster", 150)
     picked = sampling.by_quota(rows, "cluster", quotas, F.desc("confidence"), F.col("vec_id")).withColumn("part", F.lit("train"))
     return picked.unionByName(rows.where(F.col("cluster").isin(held)).withColumn("part", F.lit("holdout"))).select("vec_id", "cluster", "part")
 
@@ -107,7 +124,7 @@ def select_global_top(spark, d):
 @query(f"with q as (select source_id, round_even(0.8 * count(*), 0)::int as quota from (select distinct source_id, source_record_id from raw_records) where source_id is not null group by source_id) select source_id, count(*) as n, sum(case when r <= quota then 1 else 0 end)::bigint as n_train from (select s.source_id, quota, row_number() over (partition by s.source_id order by source_record_id) as r from (select distinct source_id, source_record_id from raw_records) s join q on s.source_id = q.source_id) group by source_id")
 def select_train_quota(spark, d):
     rows = table(spark, d, "raw_records").where("source_id is not null").select("source_id", "source_record_id").distinct()
-    quotas = {k: round(0.8 * n) for k, n in sampling.group_sizes(rows, "source_id").items()}
+    quotas = sampling.group_sizes(rows, "source_id").select("source_id", F.bround(0.8 * F.col("n"), 0).cast("int").alias("quota"))
     train = sampling.by_quota(rows, "source_id", quotas, F.col("source_record_id")).groupBy("source_id").agg(F.count("*").alias("n_train"))
     return rows.groupBy("source_id").agg(F.count("*").alias("n")).join(train, "source_id")
 

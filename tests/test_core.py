@@ -74,7 +74,7 @@ def test_generation_text_functions(spark):
 def test_splits_and_choices(spark):
     df = spark.range(500).select(F.col("id").cast("string").alias("k"))
     for r in df.select("k", H.split_of_group(F.col("k")).alias("s"), H.digest_number(F.col("k"), "family").alias("n")).collect():
-        bucket = int(hashlib.sha256((r.k + "forge-v1").encode()).hexdigest()[:8], 16) % 10_000
+        bucket = int(hashlib.sha256((r.k + H.SALT).encode()).hexdigest()[:8], 16) % 10_000
         assert r.s == ("train" if bucket < 8000 else "val" if bucket < 9000 else "test")
         assert r.n == int(hashlib.sha256(f"{r.k}|family".encode()).hexdigest()[:12], 16)
 
@@ -136,14 +136,39 @@ def test_contamination_of_equal_benchmark_texts(spark, tmp_path):
     assert sorted((r.eval_id, r.train_id, r.similarity) for r in got) == [("b1", "t1", 1.0), ("b2", "t1", 1.0), ("b3", "t1", 1.0)]
 
 
-def test_quotas():
-    assert sampling.cap_quotas({"train": 80, "val": 10, "test": 10}, 50) == {"test": 5, "train": 40, "val": 5}
-    assert sampling.largest_remainder({"a": 1, "b": 1, "c": 1}, 2) == {"a": 1, "b": 1, "c": 0}
-    q = sampling.proportional_quotas({1: 100, 2: 30, 3: 5}, 60)
-    assert q == {1: 36, 2: 18, 3: 5}  # one pass over the leftovers, so a full cluster's share stays unspent
-    assert sum(sampling.proportional_quotas({1: 100, 2: 100}, 7).values()) == 7 and sampling.proportional_quotas({}, 5) == {}
-    m = sampling.matched_quotas({"x": 50, "y": 3}, {"x": 10, "y": 10}, 20)
-    assert m == {"x": 17, "y": 3} and sampling.matched_budget({"x": 50, "y": 3}, {"x": 10, "y": 10}) == 6
+def test_quotas(spark):
+    def of(make, *tables, **more):
+        kind = "g string, n long" if not tables[0] or isinstance(next(iter(tables[0])), str) else "g long, n long"
+        return {r.g: r.quota for r in make(*(spark.createDataFrame(list(t.items()), kind) for t in tables), "g", **more).collect()}
+
+    assert of(sampling.cap_quotas, {"train": 80, "val": 10, "test": 10}, cap=50) == {"test": 5, "train": 40, "val": 5}
+    assert of(sampling.cap_quotas, {"a": 3, "b": 4}, cap=9) == {"a": 3, "b": 4} and of(sampling.cap_quotas, {"a": 99, "b": 1}, cap=3) == {"a": 3, "b": 0}
+    assert of(sampling.largest_remainder, {"a": 1, "b": 1, "c": 1}, budget=2) == {"a": 1, "b": 1, "c": 0}
+    assert of(sampling.proportional_quotas, {1: 100, 2: 30, 3: 5}, budget=60) == {1: 36, 2: 18, 3: 5}  # one pass over the leftovers, so a full cluster's share stays unspent
+    assert of(sampling.proportional_quotas, {1: 100, 2: 101}, budget=7) == {1: 3, 2: 4} and of(sampling.proportional_quotas, {1: 2, 2: 9, 3: 9}, budget=15) == {1: 2, 2: 7, 3: 6}
+    assert of(sampling.proportional_quotas, {}, budget=5) == {}
+    assert of(sampling.matched_quotas, {"x": 50, "y": 3}, {"x": 10, "y": 10}, cap=20) == {"x": 17, "y": 3}
+    assert of(sampling.matched_quotas, {"x": 4, "y": 3, "z": 9}, {"x": 1}, cap=12) == {"x": 4, "y": 3, "z": 5}
+    assert of(sampling.matched_quotas, {"x": 2}, {"y": 10}, cap=12) == {"x": 2, "y": 0}
+    both = [spark.createDataFrame(list(t.items()), "g string, n long") for t in ({"x": 50, "y": 3}, {"x": 10, "y": 10})]
+    assert sampling.matched_budget(*both, "g").first().budget == 6
+
+
+def test_units_given_in_rounds_equal_the_rounds(spark):
+    rng = random.Random(5)
+    for case in range(6):
+        rooms, amount = {f"g{i}": rng.randrange(9) for i in range(7)}, rng.randrange(40)
+        left, given = amount, dict.fromkeys(rooms, 0)
+        while left and any(given[g] < rooms[g] for g in rooms):
+            for g in sorted(rooms, key=lambda g: (-rooms[g], g)):
+                if left and given[g] < rooms[g]:
+                    given[g] += 1
+                    left -= 1
+        out = sampling.filled(spark.createDataFrame(list(rooms.items()), "g string, room long"), "g", "room", F.lit(amount), "more")
+        assert {r.g: r.more for r in out.collect()} == given
+
+
+def test_cluster_holdout():
     train, held = sampling.cluster_holdout(list(range(12)))
     assert train and held and sorted(train + held) == list(range(12)) and sampling.cluster_holdout([]) == ([], [])
 
