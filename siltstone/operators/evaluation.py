@@ -169,6 +169,20 @@ def exact_contamination(eval_docs: DataFrame, train: DataFrame, hash_col: str) -
     return eval_docs.join(first, hash_col).select(F.col("id").alias("eval_id"), "train_id")
 
 
+def contamination_report(eval_docs: DataFrame, train: DataFrame, hash_col: str) -> DataFrame:
+    """One row: distinct training hashes, evaluation rows, how many of them stand in train, and whether none does. Inputs: (id, hash)."""
+    known = train.groupBy(hash_col).agg(F.lit(True).alias("_met"))
+    per = eval_docs.join(known, hash_col, "left").agg(F.count("*").alias("n_eval"), F.count("_met").alias("exact_overlap"))
+    n = known.agg(F.count("*").alias("n_train"))
+    return n.crossJoin(per).withColumn("clean", F.col("exact_overlap") == 0)  # two one-row frames
+
+
+def require_clean(report: DataFrame, benchmark: str) -> None:
+    row = report.first()
+    if not row["clean"]:
+        raise ValueError(f"{benchmark} is contaminated: {row['exact_overlap']} of {row['n_eval']} rows stand in train")
+
+
 def group_leaks(df: DataFrame, group: str, split: str) -> DataFrame:
     """Groups in more than one split."""
     per = df.where(F.col(group).isNotNull() & F.col(split).isNotNull()).groupBy(group).agg(F.count_distinct(split).alias("n_splits"))

@@ -33,6 +33,11 @@ def scan_report(scored: DataFrame, ledger: DataFrame, threshold: float, min_conf
     )
 
 
+def with_texts(failures: DataFrame, pool: DataFrame, key: str) -> DataFrame:
+    """``failures`` with the columns of the pool they were found in; a failure without a text there is left out."""
+    return failures.join(pool, key)
+
+
 def cluster_summary(failures: DataFrame, exemplars: int = 5) -> DataFrame:
     """(cluster, size, share, mean_confidence, exemplar_ids) of clusters other than noise; failures (doc_id, cluster, confidence)."""
     own = failures.where(F.col("cluster") != NOISE)

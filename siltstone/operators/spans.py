@@ -22,6 +22,14 @@ def windows(n: Column, size: int = 512, stride: int = 384) -> Column:
     return F.transform(starts, lambda s: F.struct(s.cast("int").alias("start"), F.least(s + size, n).cast("int").alias("end")))
 
 
+def window_bounds(n: int, size: int = 512, stride: int = 384) -> list[tuple[int, int]]:
+    """The windows of ``windows`` for one document, in Python."""
+    if not 0 < stride <= size:
+        raise ValueError("needs 0 < stride <= size")
+    count = 0 if n <= 0 else 1 if n <= size else -((size - n) // stride) + 1
+    return [(k * stride, min(k * stride + size, n)) for k in range(count)]
+
+
 WORD_RUN = re.compile(r"\w+")
 
 
@@ -68,19 +76,48 @@ def merge_adjacent(spans: DataFrame, key: str) -> DataFrame:
     return marked.groupBy(key, "island").agg(F.min("start_char").alias("start_char"), F.max_by("end_char", F.struct("start_char", "end_char")).alias("end_char"), F.first("label").alias("label")).drop("island")
 
 
-def align(tokens: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """(key, pos, label_id): the label of the span that overlaps a token most (ties: the earlier span).
+def labels_of(tokens: list[tuple[int, int]], spans: list[tuple[int, int, str]]) -> list[int]:
+    """Label ids of tokens (start, end): of the span that overlaps one most (ties: the earlier span).
 
-    ``tokens``: (key, pos, start, end), ``spans``: (key, start_char, end_char, label). Empty tokens get IGNORE; a token outside all
-    spans takes the last span's label if it starts at or after that span's end, else the first's.
+    Empty tokens get IGNORE; a token outside all spans takes the last span's label if it starts at or after that
+    span's end, else the first's. No spans, no labels but IGNORE.
     """
-    label_id = F.create_map(*(x for k, v in LABEL_IDS.items() for x in (F.lit(k), F.lit(v))))
-    ends = spans.groupBy(key).agg(F.min_by("label", F.struct("start_char", "end_char")).alias("_first"), F.max_by(F.struct("label", "end_char"), F.struct("start_char", "end_char")).alias("_last"))
-    overlap = F.least("end", "end_char") - F.greatest("start", "start_char")
-    met = tokens.join(spans, key).where((F.col("start_char") < F.col("end")) & (overlap > 0)).groupBy(key, "pos").agg(F.max_by("label", F.struct(overlap, F.negative("start_char"))).alias("_best"))
-    both = tokens.join(met, [key, "pos"], "left").join(ends, key)
-    fallback = F.when(F.col("start") >= F.col("_last.end_char"), F.col("_last.label")).otherwise(F.col("_first"))
-    return both.select(key, "pos", F.when(F.col("end") <= F.col("start"), IGNORE).otherwise(label_id[F.coalesce("_best", fallback)]).alias("label_id"))
+    if not spans:
+        return [IGNORE] * len(tokens)
+    spans = sorted(spans, key=lambda s: s[:2])
+    last = max(spans, key=lambda s: s[1])
+    out, first_open = [], 0
+    for start, end in tokens:
+        if end <= start:
+            out.append(IGNORE)
+            continue
+        while first_open < len(spans) and spans[first_open][1] <= start:
+            first_open += 1
+        best, label = 0, None
+        for a, b, name in spans[first_open:]:
+            if a >= end:
+                break
+            common = min(end, b) - max(start, a)
+            if common > best:
+                best, label = common, name
+        if label is None:
+            label = last[2] if start >= last[1] else spans[0][2]
+        out.append(LABEL_IDS.get(label))
+    return out
+
+
+@F.pandas_udf(StructType().add("offsets", ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType()))).add("labels", ArrayType(IntegerType())))
+def token_labels(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    """Word offsets of each text and their label ids by its spans; a document's tokens and spans meet where the document lies."""
+    rows = []
+    for t, s in zip(text, spans):
+        if t is None or s is None:
+            rows.append((None, None))
+            continue
+        tokens = [m.span() for m in WORD_RUN.finditer(t)]
+        known = [(x["start_char"], x["end_char"], x["label"]) for x in s if x is not None and x["start_char"] is not None and x["end_char"] is not None]
+        rows.append(([{"start": a, "end": b} for a, b in tokens], labels_of(tokens, known)))
+    return pd.DataFrame(rows, columns=["offsets", "labels"])
 
 
 def segments(tokens: DataFrame, key: str, label: str, positive_only: bool = True) -> DataFrame:

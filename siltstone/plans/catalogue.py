@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from siltstone.plans import corpus, measures, selection, structures  # noqa: F401
+from siltstone.plans import corpus, measures, selection, structures, training  # noqa: F401
 from siltstone.plans.registry import QUERIES, SQL  # noqa: F401

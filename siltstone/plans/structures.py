@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import hashing as H
 from siltstone.functions import text as T
-from siltstone.operators import construction, evaluation, mining, robustness, spans
+from siltstone.operators import construction, evaluation, mining, robustness, scoring, spans
 from siltstone.plans.corpus import _tokens
 from siltstone.plans.measures import feedback_events
 from siltstone.plans.registry import query
@@ -52,20 +52,37 @@ def span_totals(spark, d):
 
 
 def _aligned(spark, d):
-    docs = cut(spanned(spark, d).where(F.size("spans") > 0))
-    tokens = docs.select("doc_id", spans.word_offsets("text").alias("w")).select("doc_id", F.posexplode("w").alias("pos", "t")).select("doc_id", "pos", "t.start", "t.end")
-    rows = docs.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
-    return spans.align(tokens, rows, "doc_id")
+    """(doc_id, offsets, labels) of every text with spans."""
+    return spanned(spark, d).where(F.size("spans") > 0).select("doc_id", spans.token_labels("text", "spans").alias("t")).select("doc_id", "t.*")
 
 
-@query()
+# words and what lies between, in turn: running lengths give the offsets
+_pieces = f"(select doc_id, spans, i, s, sum(length(s)) over (partition by doc_id order by i) as e from (select doc_id, spans, unnest(p) as s, generate_subscripts(p, 1) as i from (select distinct on (doc_id) doc_id, spans, regexp_extract_all(text, '[{T.WORD_CHAR}]+|[^{T.WORD_CHAR}]+') as p from raw_examples where text is not null and len(spans) > 0)))"
+_ids = "case label when 'human' then 0 when 'ai_assisted' then 1 when 'ai_generated' then 2 end"
+_labelled = f"""(with w as (select doc_id, row_number() over (partition by doc_id order by i) - 1 as pos, e - length(s) as a, e as b from {_pieces} where regexp_matches(s, '^[{T.WORD_CHAR}]')),
+sp as (select distinct doc_id, s.start_char as sa, s.end_char as sb, s.label from (select doc_id, unnest(spans) as s from (select distinct doc_id, spans from raw_examples where text is not null and len(spans) > 0))),
+best as (select doc_id, pos, label from (select w.doc_id, pos, label, row_number() over (partition by w.doc_id, pos order by least(b, sb) - greatest(a, sa) desc, sa, sb) as r from w join sp on w.doc_id = sp.doc_id and sa < b and least(b, sb) > greatest(a, sa)) where r = 1),
+ends as (select doc_id, arg_min(label, sa::bigint * 10000000 + sb) as f, arg_max(label, sb::bigint * 10000000 - sa) as l, max(sb) as le from sp group by doc_id)
+select w.doc_id, pos::int as pos, a, b, {_ids.replace('label', 'coalesce(best.label, case when a >= le then l else f end)')} as label_id from w left join best using (doc_id, pos) join ends using (doc_id))"""
+
+
+@query(f"select doc_id, pos, label_id from {_labelled}")
 def span_token_labels(spark, d):
-    return _aligned(spark, d)
+    return _aligned(spark, d).select("doc_id", F.posexplode("labels").alias("pos", "label_id"))
 
 
-@query()
+@query(f"with t as (select doc_id, pos, label_id, case when lag(label_id) over (partition by doc_id order by pos) = label_id then 0 else 1 end as new from {_labelled}), i as (select *, sum(new) over (partition by doc_id order by pos) as island from t) select doc_id, min(pos) as \"start\", max(pos) + 1 as \"end\", min(label_id) as label from i where label_id > 0 group by doc_id, island")
 def span_token_segments(spark, d):
-    return spans.segments(_aligned(spark, d).withColumnRenamed("label_id", "label"), "doc_id", "label")
+    return spans.segments(span_token_labels(spark, d).withColumnRenamed("label_id", "label"), "doc_id", "label")
+
+
+@query(f"""with t as (select * from {_labelled}), n as (select doc_id, count(*) as n from t group by doc_id), w as (select doc_id, i as win, i * 96 as ws, least(i * 96 + 128, n) as we from (select doc_id, n, unnest(range(0, case when n <= 128 then 1 else ceil((n - 128) / 96.0)::int + 1 end)) as i from n)),
+g as (select doc_id, win, ws, we, min(a) as cs, max(b) as ce, count(*) filter (label_id > 0) / count(*)::double as f from w join t using (doc_id) where pos >= ws and pos < we group by doc_id, win, ws, we)
+select doc_id, win::int as "window", ws as token_start, we as token_end, cs as char_start, ce as char_end, round(f, 8) as fraction, (f >= 0.5)::int as label from g""")
+def span_windowed_examples(spark, d):
+    """Windows of 128 words, 96 apart, each labelled by its own share of words that aren't human."""
+    w = scoring.windowed_examples(_aligned(spark, d), 128, 96)
+    return w.withColumn("fraction", F.round("fraction", 8))
 
 
 _tk = "(select vec_id as k, i as pos, ((vec_id + i // 5) % 4) - 1 as l from (select vec_id, unnest(range(60)) as i from embeddings))"

@@ -14,6 +14,23 @@ def write_partitioned(df: DataFrame, path: str, *by: str, mode: str = "errorifex
     return df.sparkSession.read.parquet(path).groupBy(*by).agg(F.count("*").alias("n"))
 
 
+def write_parts(df: DataFrame, path: str, part: str) -> DataFrame:
+    """Adds ``df`` to a tree of its splits, under ``part`` in each (several runs add up, one part written twice is an error); returns rows per split.
+
+    The split stays a column of the files as well.
+    """
+    df.withColumn("_split", F.col("split")).withColumn("_part", F.lit(part)).write.mode("append").option("compression", "zstd").partitionBy("_split", "_part").parquet(_unwritten(df, path, part))
+    return df.sparkSession.read.parquet(path).where(F.col("_part") == part).groupBy("split").agg(F.count("*").alias("n"))
+
+
+def _unwritten(df: DataFrame, path: str, part: str) -> str:
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{path}/_split=*/_part={part}")
+    if pattern.getFileSystem(conf).globStatus(pattern):
+        raise ValueError(f"part {part!r} is there already under {path}")
+    return path
+
+
 def shard_of(sha: Column, shards: int) -> Column:
     return F.pmod(hex_number(sha, 8), F.lit(shards)).cast("int")
 

@@ -80,6 +80,67 @@ def reserve(spark: SparkSession, path: str, limit: int | None = None) -> DataFra
     return rows.orderBy("doc_id").limit(limit) if limit is not None else rows
 
 
+def parts(spark: SparkSession, path: str) -> DataFrame:
+    """The Parquet files under a folder by the columns they hold; folder names add none (the columns are in the files as well)."""
+    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path)
+
+
+def humans(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """(doc_id, source_group_id, text, domain, split) of a written corpus, or its nested sample of ``limit`` rows."""
+    from siltstone.operators.sampling import subsample
+
+    rows = parts(spark, path).select("doc_id", "source_group_id", "text", "domain", "split")
+    return rows if limit is None else subsample(rows, "doc_id", limit)
+
+
+def length_pool(rows: DataFrame) -> DataFrame:
+    """(token_count, n): the lengths of a corpus (token_count) with their numbers."""
+    return rows.where("token_count is not null").groupBy("token_count").agg(F.count("*").alias("n"))
+
+
+def training_rows(human: DataFrame | None, ai: DataFrame | None, mixed: DataFrame | None, splits: list[str] = ("train", "val", "test")) -> DataFrame:
+    """(doc_id, source_group_id, split, text, label, spans, domain, generator_family, generator_released) of the given sets.
+
+    Human and machine texts have one span over the whole; a mixed text is machine (1) if spans that aren't human hold at least half of its
+    characters. Rows of other splits are left out; a missing domain or family is unknown, a missing release the empty string.
+    """
+    from siltstone.operators.spans import marked_fraction, whole_span
+
+    unknown = lambda c: F.coalesce(c, F.lit("unknown"))
+    n = F.length("text")
+    common = ["doc_id", "source_group_id", "split", "text"]
+    made = []
+    for rows, label in ((human, 0), (ai, 1)):
+        if rows is not None:
+            family, released = (unknown(F.col("generator_family")), F.coalesce("generator_released", F.lit(""))) if label else (F.lit("unknown"), F.lit(""))
+            kind = F.lit("ai_generated" if label else "human")
+            made.append(rows.select(*common, F.lit(label).alias("label"), whole_span(n, kind).alias("spans"), unknown(F.col("domain")).alias("domain"), family.alias("generator_family"), released.alias("generator_released")))
+    if mixed is not None:
+        label = (marked_fraction(F.col("spans"), n) >= 0.5).cast("int")
+        made.append(mixed.select(*common, label.alias("label"), "spans", unknown(F.col("domain")).alias("domain"), F.lit("unknown").alias("generator_family"), F.lit("").alias("generator_released")))
+    out = made[0]
+    for more in made[1:]:
+        out = out.unionByName(more)
+    return out.where(F.col("split").isin(*splits))
+
+
+def capped(rows: DataFrame, most: int, *order: Column) -> DataFrame:
+    """The first ``most`` rows, whatever is filtered afterwards."""
+    return rows.orderBy(*order).limit(most)
+
+
+def quota_report(rows: DataFrame, source: str, keep: Column, wanted: int, multiplier: int, *order: Column) -> DataFrame:
+    """(source, seen, kept, wanted, taken, keep_rate, short) if each source is read up to ``wanted * multiplier`` rows in order and gives its first ``wanted`` that pass.
+
+    A reader can't stop early behind a shuffle, so the input is bounded before it.
+    """
+    from siltstone.operators.sampling import per_group
+
+    read = per_group(rows.withColumn("_ok", F.coalesce(keep, F.lit(False))), [source], wanted * multiplier, *order)
+    per = read.groupBy(source).agg(F.count("*").alias("seen"), F.count_if("_ok").alias("kept"))
+    return per.select(source, "seen", "kept", F.lit(wanted).alias("wanted"), F.least("kept", F.lit(wanted)).alias("taken"), F.bround(F.col("kept") / F.col("seen"), 4).alias("keep_rate"), (F.col("kept") < wanted).alias("short"))
+
+
 def training_hashes(spark: SparkSession, path: str) -> DataFrame:
     """Distinct content hashes of a written corpus; an empty one is an error."""
     hashes = spark.read.parquet(path).select("content_sha256").distinct()

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from siltstone.functions import hashing as H
 from siltstone.functions import text as T
 from siltstone.functions.python_udfs import luhn, normalize_text, redact, redact_text
-from siltstone.operators import construction, dedup, evaluation, gates, metrics, mining, robustness, sampling, spans
-from siltstone.sources import lake, readers
+from siltstone.operators import construction, dedup, evaluation, gates, metrics, mining, reports, robustness, sampling, scoring, spans
+from siltstone.sources import crawl, lake, readers
 
 TEXTS = ["", "one", "Hello, world! It's the end of the day.\n\n\nNext  line here", "- a\n- b\n- c\nthe rest", "Zażółć gęślą jaźń №5 — ¿qué?", "same\nsame\nsame\nother", "x_y 12 3.5 a1b2", "A​B­C <b>bold</b> [link](http://a.b) &amp;lt; &nbsp;z"]
 
@@ -249,9 +249,11 @@ def test_spans(spark):
     rows = [("a", [(0, 3, "human"), (3, 9, "ai_generated")]), ("b", [(1, 9, "human")]), ("c", [(0, 4, "human"), (5, 9, "human")]), ("d", [(0, 5, "human")]), ("e", []), ("f", None)]
     df = spark.createDataFrame(rows, "k string, s array<struct<start_char:int,end_char:int,label:string>>")
     assert [r[0] for r in df.orderBy("k").select(spans.tiling_fault(F.col("s"), F.lit(9))).collect()] == [None, "bad_start", "gap_or_overlap", "bad_end", "no_spans", "no_spans"]
-    tokens = spark.createDataFrame([("a", 0, 0, 2), ("a", 1, 2, 5), ("a", 2, 7, 7), ("a", 3, 20, 22)], "k string, pos int, start int, end int")
-    flat = df.where("k = 'a'").select("k", F.explode("s").alias("x")).select("k", "x.*")
-    assert {r.pos: r.label_id for r in spans.align(tokens, flat, "k").collect()} == {0: 0, 1: 2, 2: -100, 3: 2}
+    assert spans.labels_of([(0, 2), (2, 5), (7, 7), (20, 22)], [(0, 3, "human"), (3, 9, "ai_generated")]) == [0, 2, -100, 2]
+    assert spans.labels_of([(0, 4), (5, 6), (6, 8)], [(4, 5, "ai_assisted"), (0, 2, "human"), (2, 4, "ai_generated")]) == [0, 1, 1] and spans.labels_of([(0, 1)], []) == [-100]
+    assert all(spans.window_bounds(x) == got[x] for x in got)
+    text = df.limit(1).select(F.lit("ab cd ef").alias("t"), F.lit(None).cast("array<struct<start_char:int,end_char:int,label:string>>").alias("s")).select(spans.token_labels("t", "s").alias("x"))
+    assert text.first().x.labels is None
     counts = spans.match_counts(spark.createDataFrame([("a", [0, 1, 1, 0, 2, 2], [0, 1, 1, 0, 0, 2])], "k string, y_true array<int>, y_pred array<int>"), "k").first()
     assert (counts.seg_tp, counts.n_true, counts.n_pred) == (2, 2, 2)
 
@@ -367,3 +369,76 @@ def test_pool_audit(spark, tmp_path):
     assert [r.n for r in lake.pool_audit(spark, str(tmp_path / "pool"), ["doc_id", "text"]).collect()] == [5]
     with pytest.raises(ValueError):
         lake.pool_audit(spark, str(tmp_path / "pool"), ["missing"])
+
+
+def test_scoring_with_an_injected_model(spark):
+    docs = spark.createDataFrame([("a", "one two three four five six"), ("b", "bad word"), ("c", ""), ("d", None), (None, "x y"), ("e", "seven")], "doc_id string, text string")
+
+    def make():
+        def score(windows):
+            if any("bad" in w for w in windows):
+                raise RuntimeError("no score")
+            return [len(w.split()) / 4 for w in windows]
+
+        return score
+
+    out = {r.doc_id: r for r in scoring.scored_documents(docs, "words", make, 4, 2).collect()}
+    assert set(out) == {"a", "b", "e"} and (out["a"].score_mean, out["a"].score_max, out["a"].n_windows) == (1.0, 1.0, 2)
+    assert out["b"].failed and out["b"].score_mean is None and not out["e"].failed
+    totals = scoring.scan_totals(spark.createDataFrame(list(out.values())), 0.5).first()
+    assert (totals.scanned, totals.errors, totals.above_threshold) == (3, 1, 1)
+    labelled = spark.createDataFrame([("a", [(0, 0), (1, 2), (3, 4)], [-100, 0, 2]), ("b", [], [])], "doc_id string, offsets array<struct<start:int,end:int>>, labels array<int>")
+    rows = [(r.window, r.char_start, r.char_end, r.fraction, r.label) for r in scoring.windowed_examples(labelled, 2, 1).orderBy("window").collect()]
+    assert rows == [(0, 1, 2, 0.0, 0), (1, 1, 4, 0.5, 1)]
+
+
+def test_crawl_plans(spark, tmp_path):
+    (tmp_path / "wet.paths.gz").write_bytes(gzip.compress(b"a/1.wet\nb/2.wet\n\nc/3.wet\n"))
+    paths = crawl.segment_index(spark, str(tmp_path / "wet.paths.gz"))
+    assert paths == ["a/1.wet", "b/2.wet", "c/3.wet"] and crawl.segment_index(spark, str(tmp_path / "wet.paths.gz"), 1) == paths[:1]
+    with pytest.raises(crawl.CrawlError):
+        crawl.segment_index(spark, str(tmp_path / "none.gz"))
+    plan = crawl.plan_crawl(spark, "c", paths, partitions=2)
+    assert plan.buckets() == [["a/1.wet", "c/3.wet"], ["b/2.wet"]] and plan.fingerprint == hashlib.sha256(b"a/1.wet\nb/2.wet\nc/3.wet\n").hexdigest()[:16]
+    assert crawl.plan_crawl(spark, "c", ["/x/2.wet", "/y/1.wet"]).fingerprint == hashlib.sha256(b"1.wet\n2.wet\n").hexdigest()[:16]
+    for wrong in ({"fmt": "pdf"}, {"paths": []}, {"paths": ["a", "a"]}, {"partitions": 9}, {"shards": 0}):
+        with pytest.raises(crawl.CrawlError):
+            crawl.plan_crawl(spark, "c", **({"paths": paths} | wrong))
+
+
+def test_reports(spark, tmp_path):
+    e = spark.createDataFrame([("r", 1, 0.5, 0.0), ("r", 2, 0.01, 0.9), ("r", 3, 0.0, 0.9), ("s", 2, 0.3, 0.1), ("s", 1, 0.3, 0.2)], "run string, step int, fpr double, fnr double")
+    assert {r.run: (r.step, r.in_budget) for r in reports.best_checkpoint(e, "run", 0.01).collect()} == {"r": (2, True), "s": (1, False)}
+    marks = spark.createDataFrame([("Human-GPT",), ("my_gpt-j",), ("reddit",)], "s string").select(reports.evidence(F.col("s")))
+    assert [r[0] for r in marks.collect()] == ["human", "generator", "none"]
+    roster = spark.createDataFrame([("x", "held_out"), ("y", "held_in")], "family string, role string")
+    leaks = reports.held_out_leaks(spark.createDataFrame([("x",), ("x",), ("y",), (None,)], "f string"), "f", roster)
+    assert [tuple(r) for r in leaks.collect()] == [("x", 2)]
+    with pytest.raises(ValueError):
+        reports.require_no_leaks(leaks, "f")
+    images = spark.createDataFrame([("b", "train", "cc"), ("a", "val", "x" * 5000), ("c", None, "cc"), ("b", "train", "cc")], "image_id string, split string, license string")
+    assert {r.image_id: r.fault for r in reports.manifest_faults(images, "image_id").collect()} == {"a": "oversized_field", "b": "repeated", "c": "no_split"}
+    reports.manifest_lines(images.where("image_id <> 'a'").distinct(), "image_id").write.text(str(tmp_path / "m"))
+    assert sorted(r.image_id for r in spark.read.schema(images.schema).json(str(tmp_path / "m")).collect()) == ["b", "c"]
+    one = lambda c: spark.range(1).select(c).first()[0]
+    plain = {f: F.lit("a plain thing") for f in reports.CAPTION_FIELDS}
+    assert one(reports.caption_fault(plain)) is None and one(reports.caption_prompt(plain)).startswith("scene: a plain thing. objects: ")
+    for value, fault in (("  ", "empty"), ("x" * 401, "too_long"), ("see www.x.org", "identifying"), ("Jane Doe there", "identifying"), ("© me", "identifying")):
+        assert one(reports.caption_fault(plain | {"objects": F.lit(value)})) == f"{fault}:objects"
+    report = evaluation.contamination_report(spark.createDataFrame([("e", "h"), ("f", "k")], "id string, h string"), spark.createDataFrame([("t", "h"), ("u", "h")], "id string, h string"), "h")
+    with pytest.raises(ValueError):
+        evaluation.require_clean(report, "bench")
+
+
+def test_training_readers(spark, tmp_path):
+    data = [("a", "g", "one two", "web", "train", 2), ("b", "g", "three", None, "val", 1)]
+    df = spark.createDataFrame(data, "doc_id string, source_group_id string, text string, domain string, split string, token_count int")
+    df.withColumn("source", F.lit("x")).withColumn("_s", F.col("split")).write.partitionBy("_s").parquet(str(tmp_path / "human"))
+    assert sorted(r.doc_id for r in readers.humans(spark, str(tmp_path / "human")).collect()) == ["a", "b"] and readers.humans(spark, str(tmp_path / "human"), 1).count() == 1
+    assert readers.length_pool(readers.parts(spark, str(tmp_path / "human"))).count() == 2
+    mixed = df.select("doc_id", "source_group_id", "text", "domain", "split", F.array(F.struct(F.lit(0).alias("start_char"), F.lit(3).alias("end_char"), F.lit("ai_generated").alias("label"))).alias("spans"))
+    out = {r.doc_id: r for r in readers.training_rows(None, None, mixed, ["train", "val"]).collect()}
+    assert out["a"].label == 0 and out["b"].label == 1 and out["b"].domain == "unknown"
+    lake.write_parts(df, str(tmp_path / "mirror"), "fam1")
+    lake.write_parts(df, str(tmp_path / "mirror"), "fam2")
+    assert readers.parts(spark, str(tmp_path / "mirror")).count() == 4 and {r.split: r.n for r in lake.write_parts(df, str(tmp_path / "mirror"), "fam3").collect()} == {"train": 1, "val": 1}
