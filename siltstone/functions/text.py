@@ -22,6 +22,9 @@ ENGLISH_STOPWORDS = ["the", "and", "of", "to", "in", "a", "is", "that", "for", "
 CONFUSABLE_FROM = "авсенкморѕтхуіјԁѡցАВСЕНКМОРЅТХУІЈԀѠГЬЯФαονρτυχικμεΑΒΕΖΗΙΚΜΝΟΡΤΥΧ"
 CONFUSABLE_TO = "abcehkmopstxyijdwgABCEHKMOPSTXYIJDWrbRO" + "aovptuxikueABEZHIKMNOPTYX"
 LENGTH_BINS = [0, 150, 250, 350, 500, 750, 1100]
+ASSISTANT_OPENING = r"(?i)^\s*(?:sure|certainly|of course|absolutely|here(?:'s| is)|below is|i'd be happy|as requested|great question|okay|ok)\b[^\n]{0,120}?[:\n]"
+CLOSING_REMARK = r"(?is)\n\s*(?:let me know if|i hope this helps|feel free to|would you like me to)\b.*$"
+HEADING = r"^\s*#{1,6}\s*\S"
 PII = {
     "EMAIL": r"(?U)\b[\w.+-]+@[\w-]+\.[\w.-]{2,}\b",
     "PHONE": r"(?<!\d)(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\)|\d{3})[ .-]\d{3}[ .-]\d{4}(?!\d)",
@@ -231,12 +234,12 @@ def length_bin(words: Column) -> Column:
 
 def strip_wrapper(c: Column) -> Column:
     """Without trailing chat remarks and a leading markdown heading."""
-    c = trim_all(F.regexp_replace(c, r"(?is)\n\s*(?:let me know if|i hope this helps|feel free to|would you like me to)\b.*$", ""))
-    return F.when(c.rlike(r"^\s*#{1,6}\s*\S"), trim_all(F.regexp_replace(c, r"^[^\n]*\n?", ""))).otherwise(c)
+    c = trim_all(F.regexp_replace(c, CLOSING_REMARK, ""))
+    return F.when(c.rlike(HEADING), trim_all(F.regexp_replace(c, r"^[^\n]*\n?", ""))).otherwise(c)
 
 
 def starts_as_assistant(c: Column) -> Column:
-    return c.rlike(r"(?i)^\s*(?:sure|certainly|of course|absolutely|here(?:'s| is)|below is|i'd be happy|as requested|great question|okay|ok)\b[^\n]{0,120}?[:\n]")
+    return c.rlike(ASSISTANT_OPENING)
 
 
 def render_template(template: str, fields: dict[str, Column]) -> Column:

@@ -11,7 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions.text import ASSISTANT_OPENING
+from siltstone.operators.dedup import minhash_rows, shingle_values
+
 BLANK_LINE = re.compile(r"\n\s*\n")
+PREAMBLE = re.compile(ASSISTANT_OPENING)
 LEAST_PARAGRAPH, LEAST_EQUAL_RUN = 80, 24
 FRACTION = (0.05, 0.95)
 SPANS = "array<struct<start_char:int,end_char:int,label:string>>"
@@ -118,41 +122,68 @@ def pretend(prompt: str, target_words: int, seed: int) -> str:
     return "\n\n".join(" ".join(words[i : i + size]).capitalize() + "." for i in range(0, n, size))
 
 
+def fault_of(text: str, target: int, source: str | None = None, ratio: tuple[float, float] = (0.6, 1.6), least: float = 0.5) -> str | None:
+    """The first fault of a generated text (stripped), null if it has none.
+
+    In order: empty, assistant_preamble, too_short or too_long in words against the target, near_duplicate_of_source by estimated similarity.
+    """
+    share = len(text.split()) / max(target, 1)
+    faults = {
+        "empty": lambda: not text,
+        "assistant_preamble": lambda: PREAMBLE.match(text) is not None,
+        "too_short": lambda: share < ratio[0],
+        "too_long": lambda: share > ratio[1],
+        "near_duplicate_of_source": lambda: source is not None and (minhash_rows(shingle_values(text)) == minhash_rows(shingle_values(source))).mean() > least,
+    }
+    return next((name for name, holds in faults.items() if holds()), None)
+
+
 def generated(specs: DataFrame, model: Callable[[str, int, int], str], retries: int = 2, ratio: tuple[float, float] = (0.6, 1.6)) -> DataFrame:
     """(doc_id, family, attempt, reason, text): each spec generated until it validates, at most ``retries`` more times with the next seed.
 
-    ``specs``: (doc_id, family, prompt, target_words, seed). Rows are grouped by family so that a worker loads one model. The last
-    attempt's reason stays (empty, too_short, too_long), its text doesn't.
+    ``specs``: (doc_id, family, prompt, target_words, seed) and, where counterparts must differ from it, source (a text). Rows come by family within a task, so that a worker changes models seldom. The last
+    attempt's reason stays (see ``fault_of``), its text doesn't.
     """
 
     def scan(rows):
         for batch in rows:
             cols: list[list] = [[] for _ in range(5)]
-            for doc, family, prompt, target, seed in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, family, prompt, target, seed, source in zip(*(c.to_pylist() for c in batch.columns)):
                 for attempt in range(retries + 1):
                     text = model(prompt, target, seed + attempt).strip()
-                    share = len(text.split()) / max(target, 1)
-                    reason = "empty" if not text else "too_short" if share < ratio[0] else "too_long" if share > ratio[1] else None
+                    reason = fault_of(text, target, source, ratio)
                     if reason is None:
                         break
                 for c, v in zip(cols, (doc, family, attempt, reason, None if reason else text)):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()))], ["doc_id", "family", "attempt", "reason", "text"])
 
-    return specs.select("doc_id", "family", "prompt", "target_words", "seed").repartition("family").mapInArrow(scan, "doc_id string, family string, attempt int, reason string, text string")
+    width = specs.sparkSession.sparkContext.defaultParallelism
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(width))  # a family's rows fill as many tasks as there are cores
+    source = F.col("source") if "source" in specs.columns else F.lit(None).cast("string").alias("source")
+    specs = specs.select("doc_id", "family", "prompt", "target_words", "seed", source).repartition(width, "family", salt).sortWithinPartitions("family")
+    return specs.mapInArrow(scan, "doc_id string, family string, attempt int, reason string, text string")
 
 
 def packed_batches(queue: DataFrame, key: str, most: int = 32) -> DataFrame:
     """(key, pos, n, batch): first-in-first-out batches by window count within each queue ``key``; oversize requests alone.
 
-    ``queue``: (key, pos, n). Filling is a fold over a queue, which is bounded by the server's own limit.
+    ``queue``: (key, pos, n). A queue's requests pass through its task in order; only the open batch's fill is held.
     """
-    zero = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("bigint").alias("fill"), F.array().cast("array<struct<pos:bigint,n:bigint,batch:int>>").alias("out"))
-
-    def step(acc, r):
-        alone, full = r["n"] > most, acc["fill"] + r["n"] > most
-        batch = F.when((alone & (acc["fill"] > 0)) | (~alone & full & (acc["fill"] > 0)), acc["batch"] + 1).otherwise(acc["batch"])
-        return F.struct(F.when(alone, batch + 1).otherwise(batch).alias("batch"), F.when(alone, F.lit(0).cast("bigint")).when(full, r["n"]).otherwise(acc["fill"] + r["n"]).alias("fill"), F.concat(acc["out"], F.array(F.struct(r["pos"].alias("pos"), r["n"].alias("n"), batch.alias("batch")))).alias("out"))
+    kind = dict(queue.dtypes)[key]
 
-    ordered = queue.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("bigint").alias("pos"), F.col("n").cast("bigint").alias("n")))).alias("q"))
-    return ordered.select(key, F.explode(F.aggregate("q", zero, step)["out"]).alias("x")).select(key, "x.*")
+    def scan(rows):
+        now, number, fill = None, 0, 0
+        for batch in rows:
+            out = []
+            for k, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if k != now:
+                    now, number, fill = k, 0, 0
+                if fill and fill + n > most:
+                    number, fill = number + 1, 0
+                out.append(number)
+                number, fill = (number + 1, 0) if n > most else (number, fill + n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [*batch.schema.names, "batch"])
+
+    rows = queue.where(F.col(key).isNotNull()).select(key, F.col("pos").cast("bigint").alias("pos"), F.col("n").cast("bigint").alias("n"))
+    return rows.repartition(key).sortWithinPartitions(key, "pos", "n").mapInArrow(scan, f"{key} {kind}, pos bigint, n bigint, batch int")

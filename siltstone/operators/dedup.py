@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -116,6 +117,24 @@ def _band_keys(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
     return nodes.select("node", band.alias("key"))
 
 
+def met_within(keys: DataFrame, block: int = 4_000) -> DataFrame:
+    """(m, n), m < n: distinct pairs of nodes with a key in common. ``keys``: (node, key).
+
+    Keys on more than two blocks of nodes are split: their nodes fall into blocks by hash, and each pair of blocks is a key of its own.
+    """
+    hot = cut(keys.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > 2 * block).select("key", F.ceil(F.col("c") / block).cast("int").alias("blocks")))
+    rows = keys.select("key", "node", F.lit(0).alias("own"), F.lit(0).alias("other"))
+    if not hot.isEmpty():
+        cells = keys.join(hot, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.join(hot, "key", "left_anti").unionByName(cells.select("key", "node", "own", "other"))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    rows = rows.select("node", "own", F.struct("key", low.alias("lo"), high.alias("hi")).alias("cell"))
+    x, y = rows.alias("x"), rows.alias("y")
+    # a pair of one block meets in the block's own cell, a pair of two blocks in theirs
+    same_place = F.expr("x.cell = y.cell and x.node < y.node and (x.own <> y.own or x.cell.lo = x.cell.hi)")
+    return x.join(y, same_place).select(F.col("x.node").alias("m"), F.col("y.node").alias("n")).distinct()
+
+
 def banded_pairs(sig: DataFrame, bands: int = 16, rows: int = 8, least: float = 0.8) -> DataFrame:
     """(a, b, similarity), a < b, of signatures that agree in a band and in at least ``least`` of all positions.
 
@@ -124,7 +143,7 @@ def banded_pairs(sig: DataFrame, bands: int = 16, rows: int = 8, least: float =
     """
     keyed, nodes = _nodes(sig)
     keys = _band_keys(nodes, bands, rows)
-    met = keys.alias("x").join(keys.alias("y"), F.expr("x.key = y.key and x.node < y.node")).select(F.col("x.node").alias("m"), F.col("y.node").alias("n")).distinct()
+    met = met_within(keys)
     left, right = nodes.select(F.col("node").alias("m"), F.col("sig").alias("sa")), nodes.select(F.col("node").alias("n"), F.col("sig").alias("sb"))
     scored = met.join(left, "m").join(right, "n").select("m", "n", estimated_jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= least)
     a, b = keyed.select(F.col("node").alias("m"), F.col("id").alias("i")), keyed.select(F.col("node").alias("n"), F.col("id").alias("j"))
@@ -158,33 +177,57 @@ def first_wins(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     edges = cut(pairs.select("a", "b", "similarity"))
     touched = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
     state = cut(touched.withColumn("state", F.lit("open")))  # rows without a neighbour are kept as they are
-    while True:
+
+    def settled(state: DataFrame) -> DataFrame:
         by_a = edges.join(state.select(F.col("id").alias("a"), F.col("state").alias("sa")), "a")
         seen = by_a.groupBy(F.col("b").alias("id")).agg(F.max(F.col("sa") == "kept").alias("kept_before"), F.max(F.col("sa") == "open").alias("open_before"))
         new = F.when(F.col("state") != "open", F.col("state")).when(F.col("kept_before"), "dropped").when(F.coalesce("open_before", F.lit(False)), "open").otherwise("kept")
-        state = cut(state.join(seen, "id", "left").select("id", new.alias("state")))
-        if edges.isEmpty() or state.where("state = 'open'").isEmpty():
-            break
+        return state.join(seen, "id", "left").select("id", new.alias("state"))
+
+    while not state.where("state = 'open'").isEmpty():
+        state = cut(settled(settled(state)))  # two rounds a table
     kept = state.where("state = 'kept'").select(F.col("id").alias("a"))
     best = edges.join(kept, "a").groupBy(F.col("b").alias("id")).agg(F.min_by("a", F.struct(F.negative("similarity"), F.col("a"))).alias("best"))
     dropped = state.where("state = 'dropped'").join(best, "id").select("id", F.col("best").alias("duplicate_of"))
     return ids.select("id").join(dropped, "id", "left")
 
 
-def hamming_pairs(hashes: DataFrame, most: int = 6, blocks: int = 7) -> DataFrame:
-    """(a, b, distance), a < b, of 64-bit hashes at most ``most`` bits apart. ``hashes``: (id, hash).
+def hamming_pairs(hashes: DataFrame, most: int = 6, agree: int = 3) -> DataFrame:
+    """(a, b, distance), a < b, of 64-bit hashes at most ``most`` bits apart. ``hashes``: (id, hash); ids are unique, null hashes match nothing.
 
-    ``most + 1`` blocks of bits: two hashes that near agree in one block at least, so blocks are the join keys.
+    Of ``most + agree`` blocks of bits two hashes that near have ``agree`` in common at least, so every choice of that
+    many blocks is a join key. Equal hashes are one node; their rows are paired at the end.
     """
-    if blocks <= most:
-        raise ValueError("needs more blocks than bits that may differ")
+    nodes = hashes.where("hash is not null").select(F.col("hash").alias("node")).distinct()
+    met = met_within(nodes.select("node", F.explode(_block_keys(most, agree)).alias("key")))
+    distance = F.bit_count(F.col("m").bitwiseXOR(F.col("n")))
+    near = met.select("m", "n", distance.alias("distance")).where(F.col("distance") <= most)
+    a, b = (hashes.select(F.col("hash").alias(h), F.col("id").alias(i)) for h, i in (("m", "i"), ("n", "j")))
+    across = near.join(a, "m").join(b, "n").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "distance")
+    several = hashes.groupBy("hash").count().where("count > 1 and hash is not null").select("hash")
+    twins = hashes.join(several, "hash", "left_semi")
+    within = twins.alias("x").join(twins.alias("y"), F.expr("x.hash = y.hash and x.id < y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(0).alias("distance"))
+    return across.unionByName(within)
+
+
+def _block_keys(most: int, agree: int):
+    """Keys of the column ``node``: its bits in each choice of ``agree`` of ``most + agree`` blocks."""
+    blocks = most + agree
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    parts = F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("hash", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("bits")) for i, (lo, hi) in enumerate(zip(edges, edges[1:]))))
-    keys = hashes.where("hash is not null").select("id", "hash", F.explode(parts).alias("p")).select("id", "hash", "p.*")
-    x, y = keys.alias("x"), keys.alias("y")
-    distance = F.bit_count(F.col("x.hash").bitwiseXOR(F.col("y.hash")))
-    met = x.join(y, F.expr("x.block = y.block and x.bits = y.bits and x.id < y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), distance.alias("distance"))
-    return met.where(F.col("distance") <= most).distinct()
+    part = [F.shiftrightunsigned("node", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(edges, edges[1:])]
+    return F.array(*(F.xxhash64(F.lit(i), *(part[k] for k in chosen)) for i, chosen in enumerate(combinations(range(blocks), agree))))
+
+
+def hamming_first_wins(hashes: DataFrame, most: int = 6) -> DataFrame:
+    """(id, duplicate_of): a row is dropped iff a kept row of smaller id is at most ``most`` bits away; the nearest of those, ties the least id.
+
+    Copies of a hash follow their first row, so only distinct hashes are compared. Rows without a hash are kept.
+    """
+    first = cut(hashes.where("hash is not null").groupBy("hash").agg(F.min("id").alias("id")))
+    pairs = hamming_pairs(first, most).withColumn("similarity", 1 - F.col("distance") / 64)
+    per = first_wins(first, pairs).join(first, "id").select("hash", F.col("id").alias("_first"), "duplicate_of")
+    out = hashes.join(per, "hash", "left")
+    return out.select("id", F.when(F.col("_first").isNull(), None).otherwise(F.coalesce("duplicate_of", F.when(F.col("id") != F.col("_first"), F.col("_first")))).alias("duplicate_of"))
 
 
 def overlap_report(docs: DataFrame, protected: DataFrame, hash_col: str, id_col: str) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+RANGES = 64
+
+
 def rates(df: DataFrame, threshold: float, by: list[str] = ()) -> DataFrame:
     """fpr, fnr and precision; null where undefined."""
     hit, ai = F.col("score") >= threshold, F.col("y_true") == 1
@@ -53,16 +56,29 @@ def threshold_at_fpr(df: DataFrame, budget: float) -> float:
     return math.nextafter(score_at_rank(human, k + 1), math.inf)
 
 
-def auroc(df: DataFrame, by: list[str] = ()) -> DataFrame:
-    """Area under the ROC curve with averaged ranks of ties; null if a class is missing.
+def ranked_counts(df: DataFrame, by: list[str]) -> DataFrame:
+    """(by, score, n, pos, below): rows of each distinct score, and how many of the group score less.
 
-    Equal scores are counted first; the running count goes over distinct scores.
+    Running sums go over about RANGES ranges of scores of near-equal numbers of rows, then within each range, so
+    that no task holds all scores of a group.
     """
+    counts = value_counts(df.where(F.col("score").isNotNull()), by)
+    edges = df.agg(F.percentile_approx("score", [i / RANGES for i in range(1, RANGES)], 10 * RANGES)).first()[0] or []
+    place = F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e < F.col("score"))) if edges else F.lit(0)
+    ranged = counts.withColumn("_range", place)
+    sizes = ranged.groupBy(*by, "_range").agg(F.sum("n").alias("_n"))
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    within = F.sum("n").over(Window.partitionBy(*by, "_range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1))
+    met = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in [*by, "_range"]]
+    inner = ranged.withColumn("_within", F.coalesce(within, F.lit(0)))
+    return inner.alias("x").join(base.alias("y"), met).select("x.*", (F.col("y._base") + F.col("_within")).alias("below")).drop("_range", "_within")
+
+
+def auroc(df: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Area under the ROC curve with averaged ranks of ties; null if a class is missing."""
     by = list(by)
-    counts = value_counts(df, by)
-    w = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2
-    ranked = counts.withColumn("rank", rank)
+    ranked = ranked_counts(df, by).withColumn("rank", F.col("below") + (F.col("n") + 1) / 2)
     pos, neg = F.sum("pos"), F.sum(F.col("n") - F.col("pos"))
     return ranked.groupBy(*by).agg(F.try_divide(F.sum(F.col("rank") * F.col("pos")) - pos * (pos + 1) / 2, pos * neg).alias("auroc"))
 
@@ -78,17 +94,25 @@ def calibration_error(df: DataFrame, by: list[str] = (), bins: int = 15) -> Data
     return per.groupBy(*by).agg((F.sum(F.col("n") * F.abs(F.col("acc") - F.col("conf"))) / F.sum("n")).alias("ece"))
 
 
-def nearest_rank(score: str, q: float) -> Column:
-    """Percentile by nearest rank: a score that occurs."""
-    return F.expr(f"percentile_disc({q}) within group (order by {score})")
-
-
 def condition_cost(df: DataFrame, threshold: float, by: list[str] = ()) -> DataFrame:
-    """What human texts score: rate above the threshold, median, nearest-rank p95 and p99, maximum."""
+    """What human texts score: rate above the threshold, median, nearest-rank p95 and p99, maximum.
+
+    Ranks come from counts of distinct scores, so no buffer holds a group's scores.
+    """
+    by = list(by)
     human = df.where("y_true = 0")
-    return human.groupBy(*by).agg(
-        F.avg((F.col("score") >= threshold).cast("double")).alias("fpr"), F.count("*").alias("n_human"), F.expr("percentile(score, 0.5)").alias("median"), nearest_rank("score", 0.95).alias("p95"), nearest_rank("score", 0.99).alias("p99"), F.max("score").alias("maximum")
-    )
+    ranked = ranked_counts(human, by)
+    total = ranked.groupBy(*by).agg(F.sum("n").alias("_total"))
+    met = [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in by]
+    both = ranked.alias("r").join(total.alias("t"), met) if by else ranked.alias("r").crossJoin(total.alias("t"))  # without groups one row
+    both = both.select("r.*", "t._total")
+    upto, n = F.col("below") + F.col("n"), F.col("_total")
+    at = lambda rank: F.min(F.when(upto >= rank, F.col("score")))
+    hit = F.sum(F.when(F.col("score") >= threshold, F.col("n")).otherwise(0))
+    return both.groupBy(*by).agg(
+        (hit / F.sum("n")).alias("fpr"), F.sum("n").alias("n_human"), ((at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2).alias("median"),
+        at(F.ceil(n * 0.95)).alias("p95"), at(F.ceil(n * 0.99)).alias("p99"), F.max("score").alias("maximum"),
+    )
 
 
 def measurable(df: DataFrame, budget: float, by: list[str] = ()) -> DataFrame:

@@ -9,6 +9,7 @@ from siltstone.functions import text as T
 from siltstone.operators import dedup, gates
 from siltstone.plans.registry import query
 from siltstone.runtime import cut, spread, table
+from siltstone.sources import lake
 
 S, W = T.SPACE, T.WORD_CHAR
 R6 = lambda c: F.round(c, 6)
@@ -251,10 +252,21 @@ def dedup_hamming(spark, d):
     return dedup.hamming_pairs(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), h.alias("hash")))
 
 
-@query("select case when t.sha is not null then 'overlaps_training' when d.doc_id <> d.m then 'duplicate' else 'written' end as outcome, count(*) as n from (select doc_id, sha, min(doc_id) over (partition by sha) as m from (select doc_id, sha256(text) as sha from documents where text is not null)) d left join (select distinct sha256(text) as sha from documents where doc_id % 7 = 0 and text is not null) t using (sha) group by all")
+@query("with p as (select distinct doc_id, split, sha256(text) as sha from raw_examples where text is not null and split is not null), d as (select doc_id, sha, min(doc_id) over (partition by sha) as m from p where split <> 'train'), t as (select distinct sha from p where split = 'train') select case when t.sha is not null then 'overlaps_training' when d.doc_id <> d.m then 'duplicate' else 'written' end as outcome, count(*) as n from d left join t on d.sha = t.sha group by 1")
 def join_training_overlap(spark, d):
-    docs = documents(spark, d).where("text is not null").select("doc_id", F.sha2("text", 256).alias("sha"))
-    return dedup.overlap_report(docs, docs.where("doc_id % 7 = 0"), "sha", "doc_id")
+    """Outcome of writing the rows of other splits beside the protected training texts."""
+    rows = table(spark, d, "raw_examples").where("text is not null and split is not null").select("doc_id", "split", F.sha2("text", 256).alias("sha")).distinct()
+    return dedup.overlap_report(rows.where("split <> 'train'").select("doc_id", "sha"), rows.where("split = 'train'"), "sha", "doc_id")
+
+
+@query(
+    "with recursive h as (select c_custkey as id, xor(('0x' || substr(sha256((floor(c_custkey / 40)::bigint)::varchar), 1, 15))::bigint, 7::bigint << (c_custkey % 59)::int) as h, row_number() over (partition by floor(c_custkey / 40) order by c_custkey) as i, floor(c_custkey / 40) as g from customer), f as (select g, i, [{'id': id, 'h': h}] as kept, id, null::bigint as best from h where i = 1 "
+    "union all select h.g, h.i, case when len(list_filter(f.kept, lambda k: bit_count(xor(k.h, h.h)) <= 4)) > 0 then f.kept else list_append(f.kept, {'id': h.id, 'h': h.h}) end, h.id, list_sort(list_transform(list_filter(f.kept, lambda k: bit_count(xor(k.h, h.h)) <= 4), lambda k: bit_count(xor(k.h, h.h))::bigint * 1000000000 + k.id))[1] % 1000000000 from f join h on h.g = f.g and h.i = f.i + 1) select id, best as duplicate_of from f"
+)
+def dedup_hamming_first_wins(spark, d):
+    g = F.floor(F.col("c_custkey") / 40).cast("long")
+    h = H.hex_number(F.sha2(g.cast("string"), 256), 15).bitwiseXOR(F.call_function("shiftleft", F.lit(7).cast("long"), F.pmod(F.col("c_custkey"), F.lit(59)).cast("int")))
+    return dedup.hamming_first_wins(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), h.alias("hash")), 4)
 
 
 # ---- splits and the whole slice ----
@@ -316,5 +328,5 @@ def publish_redistributable(spark, d):
 
 @query("select source_record_id, license, domain, length(text) as n from raw_records where coalesce(license not in ('odc-by', 'public-domain'), true)")
 def publish_metadata_only(spark, d):
-    rows = raw_records(spark, d).where(~F.coalesce(F.col("license").isin("odc-by", "public-domain"), F.lit(False)))
-    return rows.withColumn("n", F.length("text")).select("source_record_id", "license", "domain", "n")
+    rows = raw_records(spark, d).withColumn("n", F.length("text"))
+    return lake.metadata_only(rows, F.col("license").isin("odc-by", "public-domain")).select("source_record_id", "license", "domain", "n")

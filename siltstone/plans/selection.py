@@ -11,6 +11,7 @@ from siltstone.operators import evaluation, sampling
 from siltstone.plans.corpus import _split, _tokens
 from siltstone.plans.registry import query
 from siltstone.runtime import table
+from siltstone.sources import readers
 
 FAMILIES = ["basalt", "ember", "larkspur", "quillon", "tidewrack"]
 TEMPERATURES, TOP_PS, GRID_MAX = [0.3, 0.7, 1.0], [0.9, 0.95], 640
@@ -215,7 +216,7 @@ def plan_round_robin(spark, d):
 
 @query("select doc_id from documents where text is not null and trim(text) <> '' order by doc_id limit 300")
 def reserve_sorted_limit(spark, d):
-    return table(spark, d, "documents").where("text is not null and trim(text) <> ''").orderBy("doc_id").limit(300).select("doc_id")
+    return readers.reserve_rows(table(spark, d, "documents").withColumn("source_group_id", F.col("source")), 300).select("doc_id")
 
 
 @query("select r.r_name as region, count(*) as n_orders, round(sum(o.o_totalprice), 2) as total from orders o join customer c on o.o_custkey = c.c_custkey join nation n on c.c_nationkey = n.n_nationkey join region r on n.n_regionkey = r.r_regionkey group by r.r_name")

@@ -11,7 +11,7 @@ from siltstone.plans.corpus import _tokens
 from siltstone.plans.measures import feedback_events
 from siltstone.plans.registry import query
 from siltstone.plans.selection import _ex, examples
-from siltstone.runtime import cut, table
+from siltstone.runtime import cut, numbered, table
 from siltstone.sources import readers
 from siltstone.streaming import streams
 
@@ -117,7 +117,12 @@ def window_score_aggregation(spark, d):
     return rows.groupBy("l_orderkey").agg(r(F.avg("s")).alias("mean"), r(F.sum(F.col("s") * F.col("w")) / F.sum("w")).alias("weighted"), r(F.max("s")).alias("top"))
 
 
-@query()
+@query(
+    """with recursive q as (select l_orderkey, l_linenumber as pos, l_quantity::bigint as n, row_number() over (partition by l_orderkey order by l_linenumber, l_quantity) as i from lineitem),
+f as (select l_orderkey, pos, n, i, 0 as batch, case when n > 32 then 0 else n end as fill from q where i = 1
+union all select q.l_orderkey, q.pos, q.n, q.i, batch + (f.n > 32 or (fill > 0 and (q.n > 32 or fill + q.n > 32)))::int, case when q.n > 32 then 0 when fill + q.n > 32 then q.n else fill + q.n end from f join q on q.l_orderkey = f.l_orderkey and q.i = f.i + 1)
+select l_orderkey, pos, n, batch from f"""
+)
 def batch_packing(spark, d):
     """Line items of an order as requests of a queue, packed first in first out."""
     rows = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("pos"), F.col("l_quantity").cast("long").alias("n"))
@@ -132,17 +137,17 @@ def _failures(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("cluster"), (H.hex_number(F.sha2(F.col("vec_id").cast("string"), 256), 8) / 4294967296.0).alias("score"))
 
 
-@query(f"select count(*) as scanned, count(*) filter (s >= 0.7) as errors, round(avg(case when s >= 0.7 then 1.0 else 0.0 end), 8) as error_rate, count(*) filter (s >= 0.8 and vec_id % 9 <> 0) as mined, count(*) filter (s >= 0.8 and vec_id % 9 = 0) as already_mined from (select vec_id, {_cf} as s from embeddings)")
+@query(f"select count(*) as scanned, count(*) filter (s >= 0.7) as errors, round(avg(case when s >= 0.7 then 1.0 else 0.0 end), 8) as error_rate, count(*) filter (s >= 0.8 and s < 0.9) as mined, count(*) filter (s >= 0.8 and s >= 0.9) as already_mined from (select vec_id, {_cf} as s from embeddings)")
 def mine_scan_report(spark, d):
     f = _failures(spark, d)
-    r = mining.scan_report(f, f.where("doc_id % 9 = 0"), 0.7, 0.8)
+    r = mining.scan_report(f, f.where("score >= 0.9"), 0.7, 0.8)
     return r.withColumn("error_rate", F.round("error_rate", 8))
 
 
-@query(f"select vec_id as doc_id, label as cluster from (select vec_id, label, {_cf} as s from embeddings) where s >= 0.8 and vec_id % 9 <> 0")
+@query(f"select vec_id as doc_id, label as cluster from (select vec_id, label, {_cf} as s from embeddings) where s >= 0.8 and s < 0.9")
 def mine_confident_errors(spark, d):
     f = _failures(spark, d)
-    return mining.confident_errors(f, f.where("doc_id % 9 = 0"), 0.7, 0.8).select("doc_id", "cluster")
+    return mining.confident_errors(f, f.where("score >= 0.9"), 0.7, 0.8).select("doc_id", "cluster")
 
 
 @query(f"select vec_id as doc_id, round(1 - s, 8) as confidence from (select vec_id, {_cf} as s from embeddings) where s <= 0.1")
@@ -248,7 +253,8 @@ def parse_grouped_attacks(spark, d):
 def parse_inverted_labels(spark, d):
     from pyspark.sql import Window
 
-    e = examples(spark, d).where("text is not null").select("text", "label", F.col("source").alias("src"), (F.row_number().over(Window.orderBy("doc_id")) - 1).alias("n"))
+    e = examples(spark, d).where("text is not null").select("text", "label", F.col("source").alias("src"), "doc_id")
+    e = numbered(e, "n", "doc_id").drop("doc_id")
     return evaluation.parse_mage(e, "n").select("doc_id", "label", "model")
 
 
@@ -284,8 +290,8 @@ def stream_sliding(spark, d):
 
 @query("with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 6 hours then 0 else 1 end as new from events), i as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as k from e) select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, count(*) as n from i group by user_id, k")
 def stream_sessions(spark, d):
-    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return streams.sessions(e, "user_id", "6 hours").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+    s = streams.drain(streams.sessions(streams.timed(streams.stream_table(spark, d, "events")), "user_id", "6 hours"), "complete")
+    return s.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
 @query("select count(distinct (user_id, event_type)) as n from events")

@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+import hashlib
+
+import pyarrow as pa
+
 from siltstone.functions.hashing import hex_number
 
+ROWS_PER_FILE = 1_000_000
+
 
 def write_partitioned(df: DataFrame, path: str, *by: str, mode: str = "errorifexists") -> DataFrame:
     """Zstd Parquet under ``by`` folders (the columns live in the paths only); returns rows per partition, counted from what was written."""
-    df.repartition(*by).write.mode(mode).option("compression", "zstd").partitionBy(*by).parquet(path)
+    sizes = df.groupBy(*by).agg(F.count("*").alias("_n"))
+    files = sizes.select(*by, F.ceil(F.col("_n") / ROWS_PER_FILE).cast("long").alias("_files"))
+    content = F.xxhash64(*(F.col(f.name) for f in df.schema if f.dataType.typeName() != "map"))
+    met = [F.col(f"d.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by]
+    spread = df.withColumn("_content", content).alias("d").join(files.alias("s"), met).select("d.*", F.pmod(F.col("_content"), F.col("_files")).alias("_file"))
+    spread.repartition(*by, "_file").drop("_file", "_content").write.mode(mode).option("compression", "zstd").partitionBy(*by).parquet(path)
     return df.sparkSession.read.parquet(path).groupBy(*by).agg(F.count("*").alias("n"))
 
 
@@ -41,9 +52,14 @@ def write_shards(df: DataFrame, path: str, sha: str, key: str, shards: int, mode
     out.repartition(shards, "shard").sortWithinPartitions("shard", key).write.mode(mode).option("compression", "zstd").partitionBy("shard").parquet(path)
 
 
+def metadata_only(df: DataFrame, allowed: Column) -> DataFrame:
+    """Rows that may not be passed on, without their text; a null permission is none."""
+    return df.where(~F.coalesce(allowed, F.lit(False))).drop("text")
+
+
 def write_metadata_only(df: DataFrame, allowed: Column, path: str, mode: str = "errorifexists") -> None:
-    """Rows that may not be passed on, without their text, in a tree of their own."""
-    df.where(~F.coalesce(allowed, F.lit(False))).drop("text").write.mode(mode).option("compression", "zstd").parquet(path)
+    """``metadata_only`` in a tree of its own."""
+    metadata_only(df, allowed).write.mode(mode).option("compression", "zstd").parquet(path)
 
 
 def redistributable_view(df: DataFrame, allowed: Column) -> DataFrame:
@@ -51,10 +67,34 @@ def redistributable_view(df: DataFrame, allowed: Column) -> DataFrame:
 
 
 def _digest_of_sorted(rows: DataFrame, by: list[str], line: str, end: str, every: bool) -> DataFrame:
-    """sha-256 over the sorted lines of each group. The lines of one group are its identities, gathered to be digested as one string."""
-    lines = F.array_sort(F.collect_list(line))
-    text = F.concat(F.array_join(lines, end), F.lit(end if every else ""))
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.sha2(text, 256).alias("sha"))
+    """(by, n, sha): sha-256 over the sorted lines of each group, with ``end`` between them or, if ``every``, after each.
+
+    A group's lines pass through its task in order (Spark's sort spills), and only the digest's state is held. Null lines are left out; without
+    groups and rows there is one row, the digest of nothing.
+    """
+    key = F.to_json(F.struct(*by)) if by else F.lit("")
+    lines = rows.where(F.col(line).isNotNull()).select(key.alias("_key"), F.col(line).cast("string").alias("_text"))
+    lines = (lines.repartition("_key") if by else lines.repartition(1)).sortWithinPartitions("_key", "_text")
+
+    def digest(batches):
+        now, n, sha = None if by else "", 0, hashlib.sha256()
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array([n], pa.int64()), pa.array([sha.hexdigest()])], ["_key", "n", "sha"])
+        for batch in batches:
+            for k, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != now:
+                    if now is not None:
+                        yield out()
+                    now, n, sha = k, 0, hashlib.sha256()
+                sha.update(((end if n and not every else "") + text + (end if every else "")).encode())
+                n += 1
+        if now is not None:
+            yield out()
+
+    digests = lines.mapInArrow(digest, "_key string, n long, sha string")
+    if not by:
+        return digests.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("sha"), F.lit(hashlib.sha256().hexdigest())).alias("sha"))  # one row, or none of an empty frame
+    names = rows.groupBy(*by).agg(F.count("*").alias("_c")).select(*by, key.alias("_key"))
+    return names.join(digests, "_key").drop("_key")
 
 
 def manifest(df: DataFrame, group: str, key: str) -> DataFrame:

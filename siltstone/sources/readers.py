@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import zlib
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -56,8 +57,11 @@ def text_files(spark: SparkSession, path: str, source: str, strip_book: bool = F
 
 def jsonl(spark: SparkSession, path: str, source: str = "local", limit: int | None = None) -> DataFrame:
     """JSON lines with per-row overrides of licence, domain, register and date; ids default to the 0-based line number."""
-    lines = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[0][0], x[1]))  # line numbers exist only in file order
-    df = spark.createDataFrame(lines, "line string, n long")
+    from siltstone.runtime import numbered
+
+    # in order of file, block and row within the block's task
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    df = numbered(lines, "n", "_file", "_block", "_row")
     if limit is not None:
         df = df.where(F.col("n") < limit)
     row = F.from_json("line", "id string, text string, license string, domain string, register string, date string").alias("r")
@@ -67,8 +71,12 @@ def jsonl(spark: SparkSession, path: str, source: str = "local", limit: int | No
 
 
 def reserve(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """Pool documents of the Parquet files under ``path``, as ``reserve_rows``; only the columns needed are read."""
+    return reserve_rows(spark.read.parquet(path), limit)
+
+
+def reserve_rows(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Pool documents in order of id: required columns checked, blank texts skipped, missing domain and register defaulted."""
-    df = spark.read.parquet(path)
     missing = sorted({"doc_id", "source_group_id", "text"} - set(df.columns))
     if missing:
         raise ValueError(f"missing columns: {missing}")
@@ -179,9 +187,11 @@ def html_text(payload: bytes | str) -> str:
     return "\n".join(parser.all[parser.body or 0 :])
 
 
-def warc_records(data: bytes):
-    """(headers, payload) of the records of a WARC or WET file, gzipped by member or plain; a cut-off record is an error."""
-    stream = io.BytesIO(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
+def warc_records(stream):
+    """(headers, payload) of the records of an open WARC or WET file, gzipped by member or plain, one at a time; a cut-off record is an error."""
+    stream = io.BufferedReader(stream, 1 << 20)
+    if stream.peek(2)[:2] == b"\x1f\x8b":
+        stream = io.BufferedReader(gzip.GzipFile(fileobj=stream), 1 << 20)
     while line := stream.readline():
         if not line.strip():
             continue
@@ -198,40 +208,69 @@ def warc_records(data: bytes):
         yield headers, payload
 
 
+def opened(path: str):
+    """An open binary stream of a local file or of one on a file system pyarrow knows."""
+    if path.startswith(("/", "file:")):
+        return open("/" + path.removeprefix("file:").lstrip("/"), "rb", buffering=0)
+    from pyarrow import fs
+
+    system, place = fs.FileSystem.from_uri(path)
+    return system.open_input_file(place)
+
+
+SEGMENT_COLUMNS = ["segment", "id", "text", "date", "url", "lang", "length"]
+ATTEMPTS = 3
+
+
 def warc_segments(spark: SparkSession, path: str, fmt: str = "wet", crawl: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Raw records of crawl segments and one stats row per segment (segment, bytes, n_records, error).
+    """Raw records of crawl segments and one stats row per segment (segment, n_records, error).
 
-    A segment is parsed whole before any of its records leaves the task, so a broken one gives an error row and no
-    records; file size and bytes read must agree. Blank texts are dropped.
+    A segment is read twice, record by record: first to its end, so that a broken one gives an error row and no
+    records, then for its records. A failing read is tried again, ATTEMPTS times in all. Blank texts are dropped.
     """
     wanted = "conversion" if fmt == "wet" else "response"
 
-    def scan(rows):
-        for batch in rows:
-            for segment, length, content in zip(*(c.to_pylist() for c in batch.columns)):
-                cols: list[list] = [[] for _ in range(7)]
-                error = None
-                try:
-                    if len(content) != length:
-                        raise EOFError("bytes read differ from the file's length")
-                    for headers, payload in warc_records(content):
-                        if headers.get("warc-type") != wanted:
-                            continue
-                        text = html_text(payload) if fmt == "warc" else payload.decode("utf-8", errors="replace")
-                        if text.strip():
-                            for c, v in zip(cols, (segment, headers.get("warc-record-id", "").strip("<>"), text, headers.get("warc-date"), headers.get("warc-target-uri", ""), headers.get("warc-identified-content-language"), headers.get("content-length"))):
-                                c.append(v)
-                except (EOFError, OSError, ValueError) as e:
-                    error, cols = f"{type(e).__name__}: {e}", [[] for _ in range(7)]
-                n = len(cols[0])
-                for c, v in zip(cols, (segment, None, None, None, None, error, str(n))):
-                    c.append(v)  # the last row of a segment is its statistics
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols] + [pa.array([False] * n + [True])], ["segment", "id", "text", "date", "url", "lang", "length", "stats"])
+    def texts(segment):
+        with opened(segment) as stream:
+            for headers, payload in warc_records(stream):
+                if headers.get("warc-type") == wanted:
+                    text = html_text(payload) if fmt == "warc" else payload.decode("utf-8", errors="replace")
+                    if text.strip():
+                        yield headers, text
+
+    def fault(segment):
+        for attempt in range(ATTEMPTS):
+            try:
+                return sum(1 for _ in texts(segment)), None
+            except (EOFError, ValueError, zlib.error, gzip.BadGzipFile) as e:  # the file itself is broken
+                return 0, f"{type(e).__name__}: {e}"
+            except OSError as e:
+                error = f"{type(e).__name__}: {e}"
+        return 0, error
+
+    def packed(rows, stats):
+        cols = list(zip(*rows)) if rows else [[] for _ in SEGMENT_COLUMNS]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols] + [pa.array([stats] * len(rows), pa.bool_())], [*SEGMENT_COLUMNS, "stats"])
+
+    def scan(batches):
+        for batch in batches:
+            for segment in batch.column(0).to_pylist():
+                n, error = fault(segment)
+                rows, size = [], 0
+                for headers, text in texts(segment) if error is None else ():
+                    rows.append((segment, headers.get("warc-record-id", "").strip("<>"), text, headers.get("warc-date"), headers.get("warc-target-uri", ""), headers.get("warc-identified-content-language"), headers.get("content-length")))
+                    size += len(text)
+                    if size > 8_000_000:
+                        yield packed(rows, False)
+                        rows, size = [], 0
+                yield packed(rows, False)
+                yield packed([(segment, None, None, None, None, error, str(n))], True)
 
     from siltstone.runtime import cut
 
-    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
-    rows = cut(files.mapInArrow(scan, "segment string, id string, text string, date string, url string, lang string, length string, stats boolean"))
+    files = spark.read.format("binaryFile").load(path).select("path")  # the listing only; contents are read as streams
+    width = spark.sparkContext.defaultParallelism
+    rows = cut(files.repartition(width, "path").mapInArrow(scan, "segment string, id string, text string, date string, url string, lang string, length string, stats boolean"))
     docs = rows.where("not stats")
     extra = F.create_map(*(x for k, c in (("url", "url"), ("segment", "segment"), ("cc_language", "lang"), ("content_length", "length")) for x in (F.lit(k), F.col(c))), F.lit("crawl"), F.lit(crawl).cast("string"))
     records = as_raw(docs, "cc", source_record_id=F.col("id"), text=F.col("text"), source_config=F.lit(crawl), source_date=F.col("date"), extra=extra)

@@ -14,10 +14,12 @@ from siltstone.operators.evaluation import TRANSITIONS
 from siltstone.runtime import shared_dir, table
 
 
-def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table of the data folder as a stream of its files."""
+def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
+    """A table of the data folder as a stream of its files, all new ones in a micro-batch or ``files_per_batch``."""
     schema = table(spark, folder, name).schema
     reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     path = f"{folder}/{name}.parquet"
     if os.path.isdir(path.removeprefix("file://")):
         return reader.parquet(path)
@@ -27,7 +29,7 @@ def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Everything a stream has now, through a real streaming query with a checkpoint, as a table in the shared folder.
 
-    Batches are written by ``foreachBatch``; in complete and update mode the last batch holds.
+    Batches are written by ``foreachBatch``; in complete mode the last batch holds, in append and update mode all do. A stream without data gives an empty table.
     """
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -37,10 +39,10 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
     stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    try:
-        out = spark.read.schema(schema.add("batch", "long")).parquet(f"{base}/out")
-    except Exception:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/out")
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
         return spark.createDataFrame([], schema)
+    out = spark.read.schema(schema.add("batch", "long")).parquet(f"{base}/out")
     if mode == "complete":
         last = out.agg(F.max("batch")).first()[0]
         out = out.where(F.col("batch") == F.lit(last))
@@ -63,7 +65,12 @@ def sessions(events: DataFrame, key: str, gap: str = "30 minutes") -> DataFrame:
 
 
 def first_of_hash(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """Stateful exact deduplication; state is kept as long as the watermark needs it."""
+    """Stateful exact deduplication: the first row of each key, whenever another arrives; state is one entry a key."""
+    return stream.dropDuplicates(keys)
+
+
+def first_of_hash_lately(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """The first row of each key within the watermark's delay: state is bounded, and a key that comes back later counts again."""
     return stream.dropDuplicatesWithinWatermark(keys)
 
 

@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import unicodedata
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -442,3 +443,94 @@ def test_training_readers(spark, tmp_path):
     lake.write_parts(df, str(tmp_path / "mirror"), "fam1")
     lake.write_parts(df, str(tmp_path / "mirror"), "fam2")
     assert readers.parts(spark, str(tmp_path / "mirror")).count() == 4 and {r.split: r.n for r in lake.write_parts(df, str(tmp_path / "mirror"), "fam3").collect()} == {"train": 1, "val": 1}
+
+
+def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
+    from siltstone import runtime
+
+    assert runtime.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+    class Session:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getConf = staticmethod(dict)
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default=None: default)
+
+    with pytest.raises(RuntimeError):
+        runtime.shared_dir(Session)
+    with runtime.scratch(spark):
+        path = runtime.cut(spark.range(3)).inputFiles()[0].removeprefix("file:").removeprefix("//")
+        assert Path(path).exists()
+    assert not Path(path).exists()
+
+
+def test_rows_are_numbered_over_ranges(spark):
+    df = spark.range(200).select((F.col("id") * 37 % 200).alias("k"))
+    assert all(r.n == r.k for r in runtime_numbered(df).collect()) and runtime_numbered(df.limit(0)).count() == 0
+
+
+def runtime_numbered(df):
+    from siltstone.runtime import numbered
+
+    return numbered(df, "n", "k")
+
+
+def test_ranks_over_ranges_equal_a_sort(spark):
+    rng = random.Random(3)
+    data = [(rng.choice(["a", "b", None]), rng.randrange(2), rng.choice([0.999, 0.001, rng.random()])) for _ in range(400)]
+    df = spark.createDataFrame(data, "g string, y_true int, score double")
+    for r in metrics.ranked_counts(df, ["g"]).collect():
+        own = [s for g, _, s in data if g == r.g]
+        assert r.below == sum(s < r.score for s in own) and r.n == own.count(r.score)
+    cost = {r.g: r for r in metrics.condition_cost(df, 0.5, ["g"]).collect()}
+    for g, r in cost.items():
+        own = sorted(s for x, y, s in data if x == g and not y)
+        assert (r.n_human, r.p95, r.maximum) == (len(own), own[math.ceil(0.95 * len(own)) - 1], own[-1]) and r.median == pytest.approx(float(np.median(own)))
+
+
+def test_hot_keys_are_split(spark):
+    keys = spark.range(60).select(F.col("id").alias("node"), F.when(F.col("id") < 50, 1).otherwise(F.col("id") % 3 + 2).alias("key"))
+    plain, split = (sorted(map(tuple, dedup.met_within(keys, block).collect())) for block in (4_000, 8))
+    assert plain == split and len(plain) == 50 * 49 // 2 + sum(n * (n - 1) // 2 for n in (4, 3, 3))
+
+
+def test_first_wins_by_hamming_distance(spark):
+    rng = random.Random(4)
+    base = [rng.getrandbits(62) for _ in range(5)]
+    data = [(i, base[i % 5] ^ sum(1 << rng.randrange(62) for _ in range(rng.randrange(4)))) for i in range(60)] + [(100, None), (101, base[0]), (102, base[0])]
+    kept, want = [], {}
+    for i, h in data:
+        near = [(bin(h ^ k).count("1"), j) for j, k in kept if bin(h ^ k).count("1") <= 6] if h is not None else []
+        want[i] = min(near)[1] if near else None
+        if not near and h is not None:
+            kept.append((i, h))
+    out = {r.id: r.duplicate_of for r in dedup.hamming_first_wins(spark.createDataFrame(data, "id long, hash long")).collect()}
+    assert {i for i, d in out.items() if d is None} == {i for i, d in want.items() if d is None}
+
+
+def test_digests_stream_over_sorted_lines(spark):
+    df = spark.createDataFrame([("b", "x"), ("a", "x"), ("c", None), (None, "x"), ("d", "y")], "k string, g string")
+    got = {r.g: (r.n_docs, r.ids_sha256) for r in lake.manifest(df, "g", "k").collect()}
+    assert got == {"x": (2, hashlib.sha256(b"a\nb").hexdigest()), "y": (1, hashlib.sha256(b"d").hexdigest())}
+    assert tuple(lake.fingerprint(df, "k").first()) == (hashlib.sha256(b"a\nb\nc\nd\n").hexdigest()[:16], 4)
+    assert tuple(lake.fingerprint(df.limit(0), "k").first()) == (hashlib.sha256(b"").hexdigest()[:16], 0)
+
+
+def test_generation_faults():
+    source = " ".join(f"w{i}" for i in range(60))
+    fault = lambda text, target=60, src=None: construction.fault_of(text, target, src)
+    assert [fault(""), fault("Sure, here it is:\n" + source), fault("a b c"), fault(source * 2 + source), fault(source), fault(source, 60, source)] == ["empty", "assistant_preamble", "too_short", "too_long", None, "near_duplicate_of_source"]
+
+
+def test_streamed_duplicates_over_batches(spark, tmp_path):
+    from siltstone.streaming import streams
+
+    folder = tmp_path / "events.parquet"
+    for i in range(3):
+        spark.createDataFrame([(i * 5, "a"), (i * 5, f"n{i}")], "hours int, k string").select(F.timestamp_add("HOUR", F.col("hours"), F.lit("2024-01-01").cast("timestamp")).alias("ts"), "k").coalesce(1).write.mode("append").parquet(str(folder))
+    stream = lambda: streams.timed(streams.stream_table(spark, str(tmp_path), "events", files_per_batch=1))
+    ever, lately = streams.drain(streams.first_of_hash(stream(), ["k"])), streams.drain(streams.first_of_hash_lately(stream(), ["k"]))
+    assert sorted(r.k for r in ever.collect()) == ["a", "n0", "n1", "n2"]
+    assert {r.k for r in lately.collect()} == {"a", "n0", "n1", "n2"}
