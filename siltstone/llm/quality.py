@@ -35,15 +35,23 @@ LEAST_DEVIATION = 0.01
 NO_LANGUAGE = "und"
 
 RUNS = re.compile(r"\w+")
-NEITHER = re.compile(r"[\w\s]+")
-LINE_END = re.compile(r"""[.!?…]["'”’»)\]]*$""")
+#: Marks a sentence ends with, and what may follow them (fixed values).
+STOPS = (".", "!", "?", "…")
+CLOSERS = "\"'”’»)]"
+
+
+def ends_sentence(line: str) -> bool:
+    """Whether a trimmed line ends in a stop, closing quotes and brackets aside."""
+    return line.rstrip(CLOSERS).endswith(STOPS)
 
 
 def statistics_of(text: str, common: dict[str, str]) -> tuple[str, list[float]]:
     """Prose language and statistics of a text; ``common`` maps a word to its languages, blank-separated."""
     runs = RUNS.findall(text)
-    low = list(map(str.lower, runs))
-    n = len(runs)
+    low = " ".join(runs).lower().split()
+    joined = "".join(runs)
+    n = len(low)
+    blanks = len(text) - sum(map(len, text.split()))
     lines = [x for x in map(str.strip, text.split("\n")) if x]
     hits = list(filter(None, map(common.get, low)))
     votes: dict[str, int] = {}
@@ -54,14 +62,13 @@ def statistics_of(text: str, common: dict[str, str]) -> tuple[str, list[float]]:
         for lang in langs.split():
             per[lang] = per.get(lang, 0) + k
     language = min(per, key=lambda x: (-per[x], x)) if per else NO_LANGUAGE
-    joined = "".join(runs)
     digits = 0 if joined.isalpha() else sum(map(joined.count, "0123456789"))
     return language, [
-        len(NEITHER.sub("", text)) / len(text),
+        (len(text) - len(joined) - blanks) / len(text),
         1 - len(set(lines)) / len(lines) if lines else 0.0,
         len(joined) / n if n else 0.0,
         len(set(low)) / n if n else 0.0,
-        sum(1 for x in lines if LINE_END.search(x)) / len(lines) if lines else 0.0,
+        sum(map(ends_sentence, lines)) / len(lines) if lines else 0.0,
         len(hits) / n if n else 0.0,
         digits / len(text),
         float(np.log1p(n)),
@@ -204,14 +211,3 @@ def scored(records: DataFrame, common: dict[str, str], policies: dict[str, tuple
 
     far = _distances(model, stats)
     return far.mapInArrow(check, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in far.schema) + ", suspect boolean, breaks boolean")
-
-
-def within_policy(records: DataFrame, common: dict[str, str], policies: dict[str, tuple]) -> DataFrame:
-    """The rows of ``records`` (id, source, text, ...) with a text that breaks no limit of their source."""
-
-    def scan(rows):
-        for batch in rows:
-            keep = [not breaks_policy(policies.get(source), statistics_of(text, common)[1]) for source, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return records.where(r"text is not null and text <> ''").mapInArrow(scan, records.schema)

@@ -65,9 +65,8 @@ def _labelled(spark, d, clean_only):
     raw = raw.select(F.col("source_record_id").alias("id"), F.col("source_id").alias("source"), "text", language.label_language(F.col("upstream_language.lang")).alias("label"))
     common = quality.common_map(table(spark, d, "common_words"))
     model = language.fit(raw, common)
-    raw = spread(raw)
-    kept = quality.within_policy(raw, common, quality.policy_map(table(spark, d, "quality_policy"))) if clean_only else raw
-    return language.label_paragraphs(kept, model)
+    policy = (common, quality.policy_map(table(spark, d, "quality_policy"))) if clean_only else None
+    return language.label_paragraphs(spread(raw), model, policy)
 
 
 @query
