@@ -275,6 +275,11 @@ def test_viterbi_is_optimal():
         assert path_value(s, p, path[at : at + n]) == pytest.approx(brute_viterbi(s, p)[0], abs=1e-4)
         at += n
     assert len(language.viterbi(np.zeros((0, 6), np.float32), np.array([], int), np.zeros(0, np.float32))) == 0
+    n = 3000
+    scores = rng.normal(size=(n, 6)).astype(np.float32)
+    penalty = rng.uniform(0.2, 4, n).astype(np.float32)
+    whole, blocked = language.viterbi(scores, np.array([n]), penalty), language._long_path(scores, penalty)  # what chains over LONG take
+    assert path_value(scores, penalty, blocked) == pytest.approx(path_value(scores, penalty, whole), rel=1e-4)
 
 
 def test_languages_of_paragraphs(spark):
@@ -286,10 +291,22 @@ def test_languages_of_paragraphs(spark):
     labelled = language.label_paragraphs(df, language.fit(df, common))
     assert rows(language.mislabelled(labelled)) == [("mixed", 1, "fr"), ("none", 0, "fr"), ("wrong", 0, "en")]
     of = {r.id: r for r in language.record_languages(labelled).collect()}
-    assert of["greek"].lang == "und" and of["mixed"].n_languages == 2 and 0 < of["wrong"].confidence <= 1
+    assert of["greek"].lang == "el" and of["mixed"].n_languages == 2 and 0 < of["wrong"].confidence <= 1
     assert "null" not in of and "blank" not in of
 
 
+def test_scripts_narrow_the_candidates(spark):
+    en = "the house of the river and the old mill was not far from it in the end. "
+    texts = {"el": "αβγ δεζ ηθι " * 9, "ru": "река дом поле " * 9, "zh": "河流 房子 " * 9, "ja": "かわ いえ " * 9, "ko": "강 집 들 " * 9, "he": "בית נהר " * 9, "ar": "بيت نهر " * 9, "th": "บ้าน แม่น้ำ " * 9, "half": en + "αβγ " * 3, "figures": "12 1905 7 " * 9}
+    fr = "la maison de la rivière et le vieux moulin ne sont pas loin dans les bois avec nous. "
+    docs = [(f"{k[0]}_{i}", k, v * 3) for i in range(8) for k, v in (("en", en), ("fr", fr))] + [(k, "en", v) for k, v in texts.items()]
+    df = spark.createDataFrame(docs, "id string, label string, text string")
+    model = language.fit(df.where("id like '__%' and id rlike '^._'"), {w: "en" for w in "the of and was not from it in".split()} | {w: "fr" for w in "la de et le ne sont pas dans les avec nous".split()})
+    out = {r.id: r for r in language.label_paragraphs(df, model).collect()}
+    assert {k: out[k].lang for k in texts} == {"el": "el", "ru": "und-Cyrl", "zh": "zh", "ja": "ja", "ko": "ko", "he": "he", "ar": "und-Arab", "th": "th", "half": "en", "figures": "und"}
+    assert out["figures"].confidence == 0 and out["el"].confidence == 1 and out["half"].other_words == 3
+
+
 def test_labels_stand_for_languages(spark):
     names = ["en_US", "GERMAN", "fre", " pt-BR ", "", "und", None, "nl", "xx"]
     df = spark.createDataFrame([(x,) for x in names], "l string").select(language.label_language(F.col("l")))
