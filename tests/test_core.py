@@ -534,3 +534,26 @@ def test_streamed_duplicates_over_batches(spark, tmp_path):
     ever, lately = streams.drain(streams.first_of_hash(stream(), ["k"])), streams.drain(streams.first_of_hash_lately(stream(), ["k"]))
     assert sorted(r.k for r in ever.collect()) == ["a", "n0", "n1", "n2"]
     assert {r.k for r in lately.collect()} == {"a", "n0", "n1", "n2"}
+
+
+def test_one_pass_cleaning_equals_the_columns(spark):
+    from siltstone.functions.python_udfs import normalize
+    from siltstone.plans.ingest import clean, judged_records
+
+    rng = random.Random(7)
+    words = "the mill of a river and it was not in their house don't Où été ÀÉ x_1 42 naïve".split()
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice([20, 60, 90]))) for _ in range(60)]
+    texts += ["#$% " * 90, "same line here is the one\n" * 20, "a b " * 90, "word " * 90, "", "  ", None, "mail a.b@c.org " + texts[0] + " " + texts[1], "pneumonoultramicroscopic " * 60, "the end of the house.\n\n" * 30, "l'été de la maison " * 40]
+    data = [(f"r{i}" if i % 9 else None, "s", None, None, None, None, None, t, (rng.choice(["en", "fr", None]), rng.choice([0.9, 0.5, None]))) for i, t in enumerate(texts)]
+    schema = "source_record_id string, source_id string, source_config string, license string, domain string, register string, acquired_at timestamp, text string, upstream_language struct<lang:string,score:double>"
+    df = spark.createDataFrame(data + data[-1:], schema)
+    policy = gates.CleaningPolicy()
+    judged = judged_records(df, policy)
+    c = F.col("text")
+    language, score, detector = T.detect_language(c, F.col("upstream_language.lang"), F.col("upstream_language.score"))
+    columns = df.withColumn("text", normalize("text")).select("source_record_id", F.coalesce(gates.reject_reason(F.col("source_record_id"), c, language, score, policy), F.lit("kept")).alias("reason"), detector.alias("detector"), F.length("text").alias("n"))
+    ours = judged.select("source_record_id", F.coalesce(F.regexp_replace("reject_reason", ".*_after_redaction", "kept"), F.lit("kept")).alias("reason"), "detector", F.length("text").alias("n"))
+    assert sorted((str(r[0]), r[1], r[2]) for r in ours.collect()) == sorted((str(r[0]), r[1], r[2]) for r in columns.collect())
+    assert len({r.reason for r in ours.collect()}) > 5
+    out = clean(df).collect()
+    assert len({r.doc_id for r in out}) == len(out) and all(r.split in ("train", "val", "test") for r in out) and clean(df.limit(0)).count() == 0
