@@ -50,11 +50,19 @@ def permutations(n: int, seed: int = 42) -> list[tuple[int, int]]:
     return out
 
 
+@lru_cache
+def _factors(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Upper and lower halves of the permutations' factors, and their summands, as columns."""
+    ab = np.array(permutations(n, seed), dtype=np.uint64)
+    return (ab[:, :1] >> np.uint64(32)), (ab[:, :1] & np.uint64(MASK_32)), ab[:, 1:]
+
+
 def _fold(x: np.ndarray) -> np.ndarray:
     """x mod 2**61 - 1 for x below 2**63."""
     m = np.uint64(MERSENNE)
     x = (x & m) + (x >> np.uint64(61))
-    return np.where(x >= m, x - m, x)
+    x -= (x >= m) * m
+    return x
 
 
 def minhash_rows(shingles: np.ndarray, n_perm: int = 128, seed: int = 42) -> np.ndarray:
@@ -65,13 +73,12 @@ def minhash_rows(shingles: np.ndarray, n_perm: int = 128, seed: int = 42) -> np.
     """
     if not len(shingles):
         return np.full(n_perm, MASK_32, dtype=np.int64)
-    ab = permutations(n_perm, seed)
-    a, b = (np.array([p[i] for p in ab], dtype=np.uint64)[:, None] for i in (0, 1))
+    upper, lower, b = _factors(n_perm, seed)
     x = np.asarray(shingles, dtype=np.uint64)[None, :]
-    high = _fold((a >> np.uint64(32)) * x)  # times 2**32 to come
+    high = _fold(upper * x)  # times 2**32 to come
     # high * 2**32 mod 2**61-1: the top 32 bits of high wrap around
     wrapped = ((high & np.uint64((1 << 29) - 1)) << np.uint64(32)) + (high >> np.uint64(29))
-    low = (a & np.uint64(MASK_32)) * x
+    low = lower * x
     low = (low & np.uint64(MERSENNE)) + (low >> np.uint64(61))
     value = _fold(_fold(wrapped + low) + b)
     return (value & np.uint64(MASK_32)).min(axis=1).astype(np.int64)
