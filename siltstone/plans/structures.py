@@ -174,10 +174,13 @@ def mine_quality_warnings(spark, d):
     return s.select("cluster").join(w, "cluster", "left").select("cluster", F.coalesce("large", F.lit(False)).alias("large"))
 
 
-@query()
+@query(
+    """with v as (select vec_id, label as c, embedding::double[] as e from embeddings), p as (select x.vec_id, x.c as own, y.c as other, sum(list_distance(x.e, y.e)) as d, count(*) as n from v x, v y group by all),
+m as (select vec_id, own, max(case when own = other and n > 1 then d / (n - 1) end) as a, min(case when own <> other then d / n end) as b from p group by vec_id, own) select round(avg((b - a) / greatest(a, b)), 8) as silhouette, count(*) as n from m where a is not null and b is not null"""
+)
 def mine_silhouette(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("cluster"), F.col("embedding").cast("array<double>").alias("v"))
-    return mining.silhouette(v)
+    return mining.silhouette(v).withColumn("silhouette", F.round("silhouette", 8))
 
 
 @query()
@@ -213,6 +216,28 @@ def robust_delta(spark, d):
     return robustness.delta_table(a.join(clean, "doc_id"), 0.62)
 
 
+@query()
+def robust_conditions(spark, d):
+    """Misses under attack with four ways to prepare a text, each against the clean texts prepared alike."""
+    docs = table(spark, d, "benchmark_docs").where("label = 1 and text is not null").select("doc_id", "text")
+    names = list(robustness.CONDITIONS)
+    score = F.least(F.lit(1.0), T.mean_word_length(F.col("text")) / 8)
+    a = robustness.attacked(docs, ["homoglyph_substitute", "case_perturb", "whitespace_perturb"]).where("not noop and valid")
+    under = robustness.under_conditions(a.select("attack", "severity", "text"), names).select("attack", "severity", "condition", score.alias("score"))
+    clean = robustness.under_conditions(docs.select("text"), names).select("condition", score.alias("score"))
+    return robustness.condition_table(under, clean, 0.62)
+
+
+@query()
+def robust_condition_cost(spark, d):
+    """What the preparations do to human texts: their scores' median and upper percentiles."""
+    from siltstone.operators import metrics
+
+    docs = table(spark, d, "benchmark_docs").where("label = 0 and text is not null").select("text")
+    under = robustness.under_conditions(docs, list(robustness.CONDITIONS)).select("condition", F.lit(0).alias("y_true"), F.least(F.lit(1.0), T.mean_word_length(F.col("text")) / 8).alias("score"))
+    return metrics.condition_cost(under, 0.62, ["condition"])
+
+
 def _mirrors(spark, d):
     e = examples(spark, d).where("text is not null")
     human = e.select(F.col("doc_id").alias("human_id"), F.col("text").alias("human_text"))

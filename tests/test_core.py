@@ -557,3 +557,17 @@ def test_one_pass_cleaning_equals_the_columns(spark):
     assert len({r.reason for r in ours.collect()}) > 5
     out = clean(df).collect()
     assert len({r.doc_id for r in out}) == len(out) and all(r.split in ("train", "val", "test") for r in out) and clean(df.limit(0)).count() == 0
+
+
+def test_conditions_of_a_robustness_run(spark):
+    df = spark.createDataFrame([("A <b>Tést</b>  hеre", 1), (None, 2)], "text string, k int")  # the e of "here" is Cyrillic
+    got = {r.condition: r.text for r in robustness.under_conditions(df, list(robustness.CONDITIONS)).collect()}
+    assert got == {"raw": "A <b>Tést</b>  hеre", "normalised": "A Tést hеre", "folded": "A Tést here", "casefolded": "a tést here"}
+    for wrong in (["raw"], ["normalised", "nope"]):
+        with pytest.raises(ValueError):
+            robustness.under_conditions(df, wrong)
+    text = " ".join(f"word{i} and" for i in range(60))
+    assert robustness.preserves_meaning(text, text.replace("a", "а")) and not robustness.preserves_meaning(text, "something else " * 30) and not robustness.preserves_meaning("", text)
+    attacked = spark.createDataFrame([("x", 0.1, "raw", 0.2), ("x", 0.1, "raw", 0.9)], "attack string, severity double, condition string, score double")
+    row = robustness.condition_table(attacked, spark.createDataFrame([("raw", 0.9)], "condition string, score double"), 0.5).first()
+    assert (row.n, row.fnr, row.clean_fnr, row.delta) == (2, 0.5, 0.0, 0.5)
