@@ -29,7 +29,7 @@ BLOCK_CHARS = 1000
 SHORT_LINE = 160
 LEAST_CHARS = 64
 #: Limits of the two relative ratios.
-MOST_RATIO, MOST_CODED = 0.72, 0.74
+MOST_RATIO, MOST_CODED = 0.72, 0.76
 MOST_ENDS = 0.012
 SHARE = 0.45
 PROSE_ENDS = 0.02
@@ -42,21 +42,37 @@ USUAL_RATIO = {6: 0.8, 7: 0.68, 8: 0.61, 9: 0.55, 10: 0.5}
 USUAL_CODED = {6: 0.32, 7: 0.28, 8: 0.25, 9: 0.21, 10: 0.19}
 
 ENDS = re.compile(r"""[.!?…]["'”’»)\]]*(?=\s|$)""")
-WORDS = re.compile(r"\w+")
 LETTERS = re.compile(r"[^\W\d_]+")
+WORD_OR_NOT = re.compile(r"([^\W\d_]+)")
+DIGIT = re.compile(r"\d")
 CASE_CHANGE = re.compile(r"(?<=[a-zß-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ])")
 INNER_DIGITS = re.compile(r"(?<=[^\s\d.,:])\d+|\d+(?=[^\s\d.,:])")
 OTHER_WORDS = re.compile(r"\x01(?: \x01)*")
 
 
-def coded(block: str, common: frozenset[str]) -> str:
-    """The block with common words, numbers and marks as they are, inner digits as 9 and runs of other words as one sign."""
+class Codes(dict):
+    """Word -> itself in lower case if it is common, else a sign (several if its case changes inside); filled as words come."""
 
-    def word(m):
-        w = m.group().lower()
-        return w if w in common else "\x01"
+    def __init__(self, common: frozenset[str], most: int = 400_000):
+        super().__init__()
+        self.common, self.most = common, most
 
-    return OTHER_WORDS.sub("\x01", INNER_DIGITS.sub("9", LETTERS.sub(word, CASE_CHANGE.sub(" ", block))))
+    def __missing__(self, word: str) -> str:
+        if len(self) >= self.most:
+            self.clear()
+        parts = CASE_CHANGE.sub(" ", word).lower().split(" ")
+        self[word] = code = " ".join(p if p in self.common else "\x01" for p in parts)
+        return code
+
+
+def coded(block: str, codes: Codes) -> tuple[str, int]:
+    """The block with common words, numbers and marks as they are, inner digits as 9 and runs of other words as one sign; and how many words it has."""
+    parts = WORD_OR_NOT.split(block)
+    parts[1::2] = map(codes.__getitem__, parts[1::2])
+    out = "".join(parts)
+    if DIGIT.search(out):
+        out = INNER_DIGITS.sub("9", out)
+    return OTHER_WORDS.sub("\x01", out), len(parts) // 2
 
 
 def blocks(text: str) -> list[str]:
@@ -110,11 +126,11 @@ def parts(line: str) -> list[str]:
     return out
 
 
-def sentence_ends(text: str, common: frozenset[str]) -> int:
-    """Number of sentences that end and have enough common words."""
+def sentence_ends(code: str) -> int:
+    """Number of sentences of a coded block that end and have enough different common words."""
     n = at = 0
-    for end in ENDS.finditer(text):
-        n += len(common.intersection(LETTERS.findall(text[at : end.start()].lower()))) >= SENTENCE_COMMON
+    for end in ENDS.finditer(code):
+        n += len(set(LETTERS.findall(code, at, end.start()))) >= SENTENCE_COMMON
         at = end.end()
     return n
 
@@ -130,13 +146,15 @@ def block_measures(pages: DataFrame, common: frozenset[str]) -> DataFrame:
     """
 
     def scan(rows):
+        codes = Codes(common)
         for batch in rows:
             cols: list[list] = [[] for _ in range(8)]
             for doc, lang, text in zip(*(c.to_pylist() for c in batch.columns)):
                 for k, block in enumerate(blocks(text)):
                     size = len(block.encode("utf-8", "replace"))
-                    both = (packed(block.lower()) / size, packed(coded(block, common)) / size) if len(block) >= LEAST_CHARS else (None, None)
-                    row = (doc, k, lang, len(block), int(math.log2(size)), *both, sentence_ends(block, common) / max(1, len(WORDS.findall(block))))
+                    code, n_words = coded(block, codes)
+                    both = (packed(block.lower()) / size, packed(code) / size) if len(block) >= LEAST_CHARS else (None, None)
+                    row = (doc, k, lang, len(block), int(math.log2(size)), *both, sentence_ends(code) / max(1, n_words))
                     for c, v in zip(cols, row):
                         c.append(v)
             types = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
