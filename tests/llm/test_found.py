@@ -498,4 +498,5 @@ def test_blocks_keep_all_characters():
     kept = "".join(spam.blocks(text))
     squeezed = lambda x: sorted(re.sub(r"\s", "", x))
     assert squeezed(kept) == squeezed(text) and all(len(b) <= 1300 for b in spam.blocks(text))
-    assert spam.coded("The #BigOak at www.oak-x12.test/a 12:30, 45 of it", frozenset(["the", "at", "of", "it"])) == "the #\x01 at \x01.\x01-\x019.\x01/\x01 12:30, 45 of it"
+    code, n = spam.coded("The #BigOak at www.oak-x12.test/a 12:30, 45 of it. Not the end", spam.Codes(frozenset(["the", "at", "of", "it"])))
+    assert (code, n) == ("the #\x01 at \x01.\x01-\x019.\x01/\x01 12:30, 45 of it. \x01 the \x01", 13) and spam.sentence_ends(code) == 1
