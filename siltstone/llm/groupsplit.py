@@ -6,8 +6,10 @@ hook along the picked edges, pointers are halved until each component knows its
 loops and doubles drop out, so the graph shrinks at least by half. The picked edges form a spanning
 forest, which is written to the shared folder with every round.
 
-All per-node work is aggregation with partial sums before the shuffle (a group with a third of all
-rows is one node with many edges, whose minimum is found map-side first).
+The first round is one of the rows alone: each has its group as its least edge, so its root is known without a pointer, and a
+group with a third of all rows is never a join key while it has an edge for each. What is left are edges between groups and rows
+without one, of which each pair stands once. Least edges are aggregates, found map-side first; where many rows
+look up one root, the roots of more than one in HOT_ONE_IN rows, which are fewer than that, are broadcast.
 """
 
 from __future__ import annotations
@@ -41,28 +43,42 @@ def _picked(edges: DataFrame) -> DataFrame:
     return both.groupBy("c").agg(least.alias("e")).select("c", F.col("e.to").alias("to"), F.col("e.w").alias("w"), F.col("e.u").alias("u"), F.col("e.v").alias("v"))
 
 
+HOT_ONE_IN = 1_000
+
+
+def _looked_up(df: DataFrame, key: str, names: DataFrame, rows: int, out: str) -> DataFrame:
+    """``df`` with ``out``: the root that ``names`` (node, root) has for ``key``, else ``key``; ``rows`` is the size of ``df``."""
+    hot = cut(df.groupBy(F.col(key).alias("node")).agg(F.count("*").alias("c")).where(F.col("c") * HOT_ONE_IN > rows).select("node"))  # fewer than HOT_ONE_IN
+    names = names.select(F.col("node"), F.col("root").alias("_root"))
+    few = F.broadcast(hot.join(names, "node", "left").withColumnRenamed("node", key))
+    rest = df.join(F.broadcast(hot.withColumnRenamed("node", key)), key, "left_anti").join(names.withColumnRenamed("node", key), key, "left")
+    return df.join(few, key).unionByName(rest).withColumn(out, F.coalesce("_root", key)).drop("_root")
+
+
 def _roots(parent: DataFrame) -> DataFrame:
-    """(c, root): pointers halved until they are roots. ``parent``: (c, to), roots pointing to themselves."""
+    """(c, root): pointers halved, twice a table, until they are roots. ``parent``: (c, to), roots pointing to themselves."""
     now = cut(parent)
     while True:
-        further = now.select(F.col("c").alias("to"), F.col("to").alias("next"))
-        now = cut(now.join(further, "to", "left").select("c", F.coalesce("next", "to").alias("to"), (F.coalesce("next", "to") != F.col("to")).alias("moved")))
-        if now.where("moved").isEmpty():
-            return now.select("c", F.col("to").alias("root"))
-        now = now.select("c", "to")
+        again = now
+        for _ in range(2):
+            further = again.select(F.col("c").alias("to"), F.col("to").alias("next"))
+            again = again.select("c", "to").join(further, "to", "left").select("c", F.coalesce("next", "to").alias("to"))
+        again = cut(again.join(now.select("c", F.col("to").alias("before")), "c").select("c", "to", (F.col("to") != F.col("before")).alias("moved")))
+        if again.where("moved").isEmpty():
+            return again.select("c", F.col("to").alias("root"))
+        now = again.select("c", "to")
 
 
-def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Minimum spanning forest (u, v, w, round) and components (node, root) of the nodes with an edge.
+def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Forest (u, v, w, round) and components (node, root) of the nodes of ``edges`` (a, b, w, u, v), a and b being the nodes and u and v what the edge is called.
 
-    ``edges``: (u, v, w). Ties of weight are broken by the names of the components, so the picked edges have no
+    Ties of weight are broken by the names of the components, so the picked edges have no
     cycle but the pair that picked the same edge, of which the smaller name becomes the root.
     """
-    edges = edges.where("u is not null and v is not null and u <> v")
-    now = cut(edges.select(F.col("u").alias("a"), F.col("v").alias("b"), "w", "u", "v"))
+    now = cut(edges.where("a <> b"))
     labels = cut(now.select(F.col("a").alias("node")).union(now.select(F.col("b").alias("node"))).distinct().withColumn("root", F.col("node")))
     forest = None
-    number = 0
+    number = 1
     while not now.isEmpty():
         picked = cut(_picked(now))
         tree = picked.select("u", "v", "w", F.lit(number).alias("round")).distinct()
@@ -76,16 +92,30 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         slim = renamed.groupBy(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).agg(F.min(F.struct("w", "u", "v")).alias("e"))
         now = cut(slim.select("a", "b", F.col("e.w").alias("w"), F.col("e.u").alias("u"), F.col("e.v").alias("v")))
         number += 1
-    if forest is None:
-        forest = now.select("u", "v", "w", F.lit(0).alias("round"))
-    return forest, labels
+    return now.select("u", "v", "w", F.lit(1).alias("round")) if forest is None else forest, labels
+
+
+def spanning_forest(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Minimum spanning forest (u, v, w, round) of the relations of ``rows`` (id, group, parent) and components (id, root) of their ids.
+
+    Null ids are left out; a row without relations is its own root; rows repeated under one id add their edges. No rows, two empty frames.
+    """
+    edges = cut(relation_edges(rows))
+    least = edges.where("w = 0").groupBy("u").agg(F.min("v").alias("v"))  # round 0: every row to its group
+    ids = rows.where("id is not null").select(F.concat(F.lit("d:"), "id").alias("u")).distinct()
+    first = cut(ids.join(least, "u", "left").select(F.col("u").alias("node"), F.coalesce("v", "u").alias("label")))
+    own, other = first.select(F.col("node").alias("u"), F.col("label").alias("a")), first.select(F.col("node").alias("v"), F.col("label").alias("lb"))
+    named = edges.join(own, "u").join(other.where(~F.col("v").startswith("g:")), "v", "left").withColumn("b", F.coalesce("lb", "v")).where("a <> b")
+    once = named.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min(F.struct("w", "u", "v")).alias("e")).select("a", "b", F.col("e.w").alias("w"), F.col("e.u").alias("u"), F.col("e.v").alias("v"))
+    forest, roots = _contracted(once)
+    zero = least.select("u", "v", F.lit(0).alias("w"), F.lit(0).alias("round"))
+    of = _looked_up(first, "label", roots, first.count(), "root").select(F.substring("node", 3, 1 << 30).alias("id"), "root")
+    return zero.unionByName(forest), of
 
 
 def components(rows: DataFrame) -> DataFrame:
     """(id, root) of every id of ``rows`` (id, group, parent); a row without relations is its own root."""
-    _, labels = spanning_forest(relation_edges(rows))
-    own = rows.where("id is not null").select("id").distinct().withColumn("node", F.concat(F.lit("d:"), "id"))
-    return own.join(labels, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
+    return spanning_forest(rows)[1]
 
 
 def tied_across_splits(rows: DataFrame) -> DataFrame:
@@ -107,11 +137,12 @@ def assign_splits(rows: DataFrame, shares: tuple[float, float, float] = SHARES)
     total = max(1, of.count())
     sizes = cut(of.groupBy("root").agg(F.count("*").alias("n")).withColumn("large", F.col("n") > total / 100))
     lacking = [share * total for share in shares]
-    placed = F.lit(None).cast("string")
+    placed, large = F.lit(None).cast("string"), []
     for r in sizes.where("large").orderBy(F.desc("n"), "root").collect():
         k = lacking.index(max(lacking))
         lacking[k] -= r["n"]
         placed = F.when(F.col("root") == r["root"], SPLITS[k]).otherwise(placed)
+        large.append(r["root"])
     lacking = [max(0.0, x) for x in lacking]
     train, val, _ = (x / (sum(lacking) or 1.0) for x in lacking)
     banded = sizes.where("not large").select("root", F.floor(F.log2("n")).cast("int").alias("band"), F.pmod(F.xxhash64("root"), F.lit(1024)).cast("int").alias("bucket"))
@@ -122,4 +153,5 @@ def assign_splits(rows: DataFrame, shares: tuple[float, float, float] = SHARES)
     number = F.col("base") + F.row_number().over(within)
     place = F.pmod(number * F.lit(0.6180339887498949), F.lit(1.0))
     dealt = banded.join(F.broadcast(before.select("band", "bucket", "base")), ["band", "bucket"]).select("root", F.when(place < train, SPLITS[0]).when(place < train + val, SPLITS[1]).otherwise(SPLITS[2]).alias("split"))
-    return of.join(dealt, "root", "left").select("id", "root", F.coalesce("split", placed).alias("split"))
+    whole = F.col("root").isin(large) if large else F.lit(False)  # their rows, which may be many, need no join
+    return of.where(whole).select("id", "root", placed.alias("split")).unionByName(of.where(~whole).join(dealt, "root").select("id", "root", "split"))
