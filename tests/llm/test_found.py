@@ -349,8 +349,12 @@ def test_related_rows_equal_union_find(spark):
     by_hand = components_by_hand(data)
     want = sorted((i,) for c in by_hand if len(set().union(*(splits[i] for i in c)) - {None}) > 1 for i in c)
     assert rows(groupsplit.tied_across_splits(df)) == want
-    forest, labels = groupsplit.spanning_forest(groupsplit.relation_edges(df))
-    assert forest.count() == labels.count() - labels.select("root").distinct().count()
+    forest, labels = groupsplit.spanning_forest(df)
+    tree = [(r.u, r.v) for r in forest.collect()]
+    roots = {r.id: r.root for r in labels.collect()}
+    groups = {f"g:{g}" for i, g, _, _ in data if i and g}
+    assert len(set(tree)) == len(tree) == len(roots) + len(groups) - len(by_hand) - (len(groups - {v for _, v in tree}))
+    assert set(tree) <= {(r.u, r.v) for r in groupsplit.relation_edges(df).collect()} and sorted(sorted(c) for c in by_hand) == sorted(sorted(i for i in roots if roots[i] == r) for r in set(roots.values()))
     dealt = {r.id: r.split for r in groupsplit.assign_splits(df).collect()}
     assert all(len({dealt[i] for i in c}) == 1 for c in by_hand) and set(dealt) == {i for i, *_ in data if i}
     assert groupsplit.tied_across_splits(df.limit(0)).count() == groupsplit.assign_splits(df.limit(0)).count() == 0
