@@ -13,7 +13,7 @@ from siltstone.operators import evaluation, metrics
 from siltstone.plans.corpus import _tokens
 from siltstone.plans.registry import query
 from siltstone.plans.selection import _ex, examples
-from siltstone.runtime import table
+from siltstone.runtime import spread, table
 
 R8 = lambda c: F.round(c, 8)
 _u = lambda key, salt: f"(('0x' || substr(sha256({key} || '|{salt}'), 1, 8))::bigint / 4294967296.0::double)"
@@ -233,6 +233,18 @@ def contamination_near(spark, d):
     return best.select(F.col("id").alias("eval_id"), F.col("match").alias("train_id"), F.round("similarity", 6).alias("similarity"))
 
 
+@query()
+def contamination_near_splits(spark, d):
+    """Held-out rows whose estimated similarity to a training row is 0.5 or more, with the most similar one."""
+    from siltstone.functions.python_udfs import normalize
+    from siltstone.operators import dedup
+
+    rows = examples(spark, d).where("text is not null").select(F.col("doc_id").alias("id"), "split", "text")
+    e, t = (dedup.signatures(spread(rows.where(side).select("id", "text")).select("id", normalize("text").alias("text")), "id", "text") for side in ("split in ('val', 'test')", "split = 'train'"))
+    best = dedup.best_matches(e, t, 32, 4, 0.5)
+    return best.select(F.col("id").alias("eval_id"), F.col("match").alias("train_id"), F.round("similarity", 6).alias("similarity"))
+
+
 @query(f"with s as (select score, y_true from {_sc}), h as (select score, row_number() over (order by score) as r, count(*) over () as n from s where y_true = 0), t as (select score as thr from h where r = least(greatest(ceil(0.95 * n) - 1, 0), n - 1) + 1), o as (select score, row_number() over (order by score) - 1 as r, count(*) over () as n from s), p as (select count(*) filter (score <= thr) as pos, greatest(floor(count(*) * 0.1 / 2), 1) as half, count(*) as n from s, t) select round((select min(score) from o where r = greatest(pos - half, 0)), 8) as low, round((select min(score) from o where r = least(pos + half, p.n - 1)), 8) as high from p")
 def decision_abstention_band(spark, d):
     from siltstone.operators.calibration import abstention_band

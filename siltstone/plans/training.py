@@ -203,10 +203,10 @@ def contamination_report(spark, d):
 # ---- image records, by their metadata ----
 def _images(spark, d):
     raw = table(spark, d, "raw_records").where("source_record_id is not null")
-    return raw.select(F.col("source_record_id").alias("image_id"), "license", F.when(F.col("register").isNotNull(), H.split_of_group(F.col("source_record_id"))).alias("split"), F.substring("text", 1, 5000).alias("note"))
+    return raw.select(F.col("source_record_id").alias("image_id"), "license", F.when(F.col("register").isNotNull(), H.split_of_group(F.col("source_record_id"))).alias("split"), F.col("text").alias("note"))
 
 
-_images_sql = f"(select source_record_id as image_id, license, case when register is not null then {_split('source_record_id')} end as split, substr(text, 1, 5000) as note from raw_records where source_record_id is not null)"
+_images_sql = f"(select source_record_id as image_id, license, case when register is not null then {_split('source_record_id')} end as split, text as note from raw_records where source_record_id is not null)"
 
 
 @query(f"select image_id, case when bool_or(coalesce(length(note) > 4096, false) or coalesce(length(license) > 4096, false)) then 'oversized_field' when count(*) > 1 then 'repeated' else 'no_split' end as fault from {_images_sql} group by image_id having bool_or(coalesce(length(note) > 4096, false) or coalesce(length(license) > 4096, false)) or count(*) > 1 or bool_or(split is null)")
