@@ -58,6 +58,11 @@ def test_bloom_has_all_its_keys(spark):
     assert (level[::2] >= 4).all() and (level[1::2] == 0).mean() > 0.2
 
 
+def test_bloom_filters_are_bounded():
+    assert bloom.bits_for(10**13) == bloom.MOST_BITS == 8 * 64 * 2**20 and bloom.bits_for(0) >= bloom.SLICES * bloom.COUNTER_BITS
+    assert [bloom.bits_for(n) >= 12 * n for n in (10**4, 10**6, 10**7)] == [True] * 3
+
+
 # ---- p1 ----
 def test_leaks_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(leaks, "ROWS_PER_SHARD", 40)  # every shard is salted
