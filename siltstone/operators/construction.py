@@ -165,20 +165,26 @@ def generated(specs: DataFrame, model: Callable[[str, int, int], str], retries:
     return specs.mapInArrow(scan, "doc_id string, family string, attempt int, reason string, text string")
 
 
-def packed_batches(queue: DataFrame, key: str, most: int = 32) -> DataFrame:
+MOST_QUEUED = 1_000
+
+
+def packed_batches(queue: DataFrame, key: str, most: int = 32, most_queued: int | None = None) -> DataFrame:
     """(key, pos, n, batch): first-in-first-out batches by window count within each queue ``key``; oversize requests alone.
 
-    ``queue``: (key, pos, n). A queue's requests pass through its task in order; only the open batch's fill is held.
+    ``queue``: (key, pos, n). A queue's requests pass through its task in order; only the open batch's fill is held. A queue of more than ``most_queued`` requests (a server's limit is MOST_QUEUED) is an error.
     """
     kind = dict(queue.dtypes)[key]
 
     def scan(rows):
-        now, number, fill = None, 0, 0
+        now, number, fill, queued = None, 0, 0, 0
         for batch in rows:
             out = []
             for k, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 if k != now:
-                    now, number, fill = k, 0, 0
+                    now, number, fill, queued = k, 0, 0, 0
+                queued += 1
+                if most_queued is not None and queued > most_queued:
+                    raise OverflowError(f"queue {k} holds more than {most_queued} requests")
                 if fill and fill + n > most:
                     number, fill = number + 1, 0
                 out.append(number)

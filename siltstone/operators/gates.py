@@ -84,6 +84,18 @@ def merge_stats(stats: DataFrame) -> DataFrame:
     return stats.groupBy("reason").agg(F.sum("n").alias("n"))
 
 
+def merge_segments(records: DataFrame) -> DataFrame:
+    """One row over segment statistics (segment, seen, kept, worker, seconds, error): what was read, failed, seen and kept, by how many workers, how long.
+
+    ``failed`` lists the segments with an error, in order; a crawl has some ten thousand segments at most.
+    """
+    bad = F.col("error").isNotNull()
+    return records.agg(
+        F.count_if(~bad).alias("segments_read"), F.array_sort(F.collect_list(F.when(bad, F.col("segment")))).alias("failed"), F.coalesce(F.sum("seen"), F.lit(0)).alias("seen"), F.coalesce(F.sum("kept"), F.lit(0)).alias("kept"),
+        F.bround(F.coalesce(F.try_divide(F.sum("kept"), F.sum("seen")), F.lit(0.0)), 4).alias("keep_rate"), F.count_distinct("worker").alias("workers"), F.round(F.coalesce(F.max("seconds"), F.lit(0.0)), 3).alias("seconds_max"), F.round(F.coalesce(F.sum("seconds"), F.lit(0.0)), 3).alias("seconds_sum"),
+    )
+
+
 def keep_rate(judged: DataFrame) -> DataFrame:
     kept = F.count_if(F.col("reject_reason").isNull())
     return judged.agg(F.count("*").alias("seen"), kept.alias("kept"), F.bround(F.coalesce(F.try_divide(kept, F.count("*")), F.lit(0.0)), 4).alias("keep_rate"))

@@ -145,6 +145,27 @@ def exact_binomial(b: int, c: int) -> float:
     return 1.0 if not n else min(1.0, 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n)
 
 
+def mcnemar_values(df: DataFrame, threshold_a: float, threshold_b: float) -> DataFrame:
+    """(b, c, chi2, p_chi2, p_exact) of two arms: the p-values of the continuity-corrected statistic and of the exact binomial test."""
+    row = mcnemar_counts(df, threshold_a, threshold_b).first()
+    p = math.erfc(math.sqrt(row["chi2"] / 2)) if row["chi2"] is not None else 1.0
+    return df.sparkSession.createDataFrame([(row["b"], row["c"], row["chi2"], p, exact_binomial(row["b"], row["c"]))], "b long, c long, chi2 double, p_chi2 double, p_exact double")
+
+
+def chance_margin(n: int, sigmas: float = 4.0) -> float:
+    """How far from a half an AUROC of ``n`` samples may be by chance."""
+    if n <= 0:
+        raise ValueError("needs at least one sample")
+    return sigmas / (2 * math.sqrt(n))
+
+
+def negative_control(df: DataFrame, sigmas: float = 4.0) -> DataFrame:
+    """(auroc, n, margin, passed) of scores against arbitrary labels: a pipeline without leaks stays within the margin of a half. ``df``: (y_true, score)."""
+    n = df.count()
+    margin = chance_margin(n, sigmas)
+    return auroc(df).select("auroc", F.lit(n).cast("long").alias("n"), F.lit(margin).alias("margin"), (F.abs(F.col("auroc") - 0.5) <= margin).alias("passed"))
+
+
 def budget_threshold(df: DataFrame, budget: float) -> float:
     """Highest threshold that lets at most floor(budget * n) human scores through (``score > threshold``)."""
     human = df.where("y_true = 0")

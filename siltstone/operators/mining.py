@@ -55,11 +55,38 @@ def top_values(failures: DataFrame, column: str, n: int = 3) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).drop("p")
 
 
+def failure_types(failures: DataFrame) -> DataFrame:
+    """(cluster, failure_type, n) of clusters other than noise."""
+    return failures.where(F.col("cluster") != NOISE).groupBy("cluster", "failure_type").agg(F.count("*").alias("n"))
+
+
+def cluster_labels(failures: DataFrame, columns: list[str]) -> DataFrame:
+    """(cluster, label): a cluster's most frequent value of each column, joined; missing values are unknown."""
+    tops = [top_values(failures, c, 1).select("cluster", F.col("value").alias(c)) for c in columns]
+    out = tops[0]
+    for more in tops[1:]:
+        out = out.join(more, "cluster")
+    return out.select("cluster", F.concat_ws(" / ", *columns).alias("label"))
+
+
 def quality_warnings(summary: DataFrame, max_share: float = 0.5) -> DataFrame:
     """Clusters that hold too large a share of all failures."""
     return summary.where(F.col("share") > max_share).select("cluster", "share", F.lit("probably several modes merged").alias("warning"))
 
 
+def atlas_warnings(summary: DataFrame, labels: DataFrame, silhouette: float | None, embedder: str, min_silhouette: float = 0.4, max_share: float = 0.5) -> DataFrame:
+    """(warning, detail): poorly_separated, merged_modes for the largest cluster, surface_embedder, split_mode for each label several clusters share."""
+    spark = summary.sparkSession
+    flat = []
+    if silhouette is not None and silhouette == silhouette and silhouette < min_silhouette:
+        flat.append(("poorly_separated", f"{silhouette:.3f}"))
+    if embedder == "hashing_v1":
+        flat.append(("surface_embedder", embedder))
+    largest = summary.orderBy(F.desc("size"), "cluster").limit(1).where(F.col("share") > max_share)
+    shared = labels.groupBy("label").agg(F.count("*").alias("n")).where("n > 1")
+    return spark.createDataFrame(flat, "warning string, detail string").unionByName(largest.select(F.lit("merged_modes").alias("warning"), F.col("cluster").cast("string").alias("detail"))).unionByName(shared.select(F.lit("split_mode").alias("warning"), F.col("label").alias("detail")))
+
+
 def silhouette(vectors: DataFrame, block: int = 4096) -> DataFrame:
     """(silhouette, n) over all rows against all rows; Euclidean, singletons skipped, null below two clusters, NaN if a point's distances are all 0.
 

@@ -260,3 +260,71 @@ def image_caption_faults(spark, d):
     fields = dict.fromkeys(reports.CAPTION_FIELDS, F.lit("plain")) | {"scene": url, "objects": F.col("register"), "lighting": F.col("lang")}
     order = table(spark, d, "documents").where(F.trim(url) != "")
     return order.select("doc_id", reports.caption_fault(fields).alias("fault"))
+
+
+# ---- rest of the reports ----
+@query(
+    """with s as (select source_config as segment, count(*) as seen, count(*) filter (length(text) >= 400) as kept, min(source_id) as worker, count(*) / 7.0::double as seconds, case when count(*) < 6 then 'cut off' end as error from raw_records where source_config is not null group by source_config)
+select count(*) filter (error is null) as segments_read, array_to_string(list_sort(list(segment) filter (error is not null)), ',') as failed, sum(seen)::bigint as seen, sum(kept)::bigint as kept, round_even(sum(kept) / sum(seen)::double, 4) as keep_rate, count(distinct worker) as workers, round(max(seconds), 3) as seconds_max, round(sum(seconds), 3) as seconds_sum from s"""
+)
+def gates_merged_segments(spark, d):
+    from siltstone.operators import gates
+
+    raw = table(spark, d, "raw_records").where("source_config is not null")
+    per = raw.groupBy(F.col("source_config").alias("segment")).agg(F.count("*").alias("seen"), F.count_if(F.length("text") >= 400).alias("kept"), F.min("source_id").alias("worker"))
+    per = per.withColumn("seconds", F.col("seen") / 7.0).withColumn("error", F.when(F.col("seen") < 6, "cut off"))
+    return gates.merge_segments(per).withColumn("failed", F.array_join("failed", ","))
+
+
+@query("with h as (select domain as cell, count(*) as m from benchmark_docs where label = 0 group by domain), a as (select domain as cell, count(*) as n from benchmark_docs where label = 1 group by domain) select cell, round(share, 8) as share, available, floor(available / share)::bigint as cap from (select cell, m / (sum(m) over ())::double as share, coalesce(n, 0) as available from h left join a using (cell)) order by cap, cell limit 5")
+def sample_binding_cells(spark, d):
+    from siltstone.operators import sampling
+
+    rows = table(spark, d, "benchmark_docs")
+    ai, human = (rows.where(F.col("label") == x).groupBy(F.col("domain").alias("cell")).agg(F.count("*").alias("n")) for x in (1, 0))
+    return sampling.binding_cells(ai, human, "cell").withColumn("share", F.round("share", 8))
+
+
+_clustered = "(select vec_id, vec_id % 6 as cluster, (vec_id * 7 // 5 % 3)::varchar as domain, (vec_id % 2)::varchar as source, case when vec_id % 5 = 0 then 'ai_false_negative' else 'human_false_positive' end as failure_type from embeddings)"
+
+
+def _clusters(spark, d):
+    v = F.col("vec_id")
+    return table(spark, d, "embeddings").select(v.alias("pos"), (v % 6).alias("cluster"), (F.floor(v * 7 / 5) % 3).cast("string").alias("domain"), (v % 2).cast("string").alias("source"), F.when(v % 5 == 0, "ai_false_negative").otherwise("human_false_positive").alias("failure_type"))
+
+
+@query(f"select cluster, failure_type, count(*) as n from {_clustered} group by all")
+def mine_failure_types(spark, d):
+    return mining.failure_types(_clusters(spark, d))
+
+
+@query(
+    f"""with t as (select cluster, domain, row_number() over (partition by cluster order by count(*) desc, min(vec_id)) as r from {_clustered} group by cluster, domain), u as (select cluster, source, row_number() over (partition by cluster order by count(*) desc, min(vec_id)) as r from {_clustered} group by cluster, source),
+l as (select domain || ' / ' || source as label from t join u using (cluster) where t.r = 1 and u.r = 1) select 'split_mode' as warning, label as detail from l group by label having count(*) > 1
+union all select 'surface_embedder', 'hashing_v1' union all select 'poorly_separated', '0.310' union all (select 'merged_modes', cluster::varchar from (select cluster, count(*) as n, count(*) / (sum(count(*)) over ())::double as s from {_clustered} group by cluster order by n desc, cluster limit 1) where s > 0.1)"""
+)
+def mine_atlas_warnings(spark, d):
+    rows = _clusters(spark, d)
+    summary = mining.cluster_summary(rows.select(F.col("pos").alias("doc_id"), "cluster", F.lit(0.5).alias("confidence")))
+    return mining.atlas_warnings(summary, mining.cluster_labels(rows, ["domain", "source"]), 0.31, "hashing_v1", 0.4, 0.1)
+
+
+@query(
+    f"""with s as (select ('0x' || substr(sha256('negative-control:' || doc_id), 1, 8))::bigint % 2 as y, {_number('doc_id::varchar', 'score')} as score from documents), k as (select *, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2.0 as r from s),
+a as (select (sum(case when y = 1 then r end) - count(*) filter (y = 1) * (count(*) filter (y = 1) + 1) / 2.0) / (count(*) filter (y = 1) * count(*) filter (y = 0)) as auroc, count(*) as n from k)
+select round(auroc, 8) as auroc, n, round(4 / (2 * sqrt(n)), 8) as margin, abs(auroc - 0.5) <= 4 / (2 * sqrt(n)) as passed from a"""
+)
+def control_auroc(spark, d):
+    from siltstone.operators import metrics
+    from siltstone.plans.selection import control_arbitrary_labels
+
+    rows = control_arbitrary_labels(spark, d).select(F.col("label").alias("y_true"), _uniform(F.col("doc_id").cast("string"), "score").alias("score"))
+    return metrics.negative_control(rows).withColumn("auroc", F.round("auroc", 8)).withColumn("margin", F.round("margin", 8))
+
+
+@query()
+def metric_mcnemar_values(spark, d):
+    from siltstone.operators import metrics
+
+    rows = examples(spark, d).where("label is not null").select(F.col("label").alias("y_true"), (_uniform(F.col("doc_id"), "score") * 0.7 + F.col("label") * 0.3).alias("a"), (_uniform(F.col("doc_id"), "other") * 0.6 + F.col("label") * 0.4).alias("b"))
+    return metrics.mcnemar_values(rows, 0.5, 0.5)

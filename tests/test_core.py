@@ -571,3 +571,17 @@ def test_conditions_of_a_robustness_run(spark):
     attacked = spark.createDataFrame([("x", 0.1, "raw", 0.2), ("x", 0.1, "raw", 0.9)], "attack string, severity double, condition string, score double")
     row = robustness.condition_table(attacked, spark.createDataFrame([("raw", 0.9)], "condition string, score double"), 0.5).first()
     assert (row.n, row.fnr, row.clean_fnr, row.delta) == (2, 0.5, 0.0, 0.5)
+
+
+def test_small_reports(spark):
+    rows = [(1, 0.9, 0.2)] * 12 + [(1, 0.1, 0.8)] * 3 + [(1, 0.9, 0.9), (0, 0.1, 0.9)]
+    r = metrics.mcnemar_values(spark.createDataFrame(rows, "y_true int, a double, b double"), 0.5, 0.5).first()
+    assert sorted((r.b, r.c)) == [3, 12] and r.p_exact == pytest.approx(2 * sum(math.comb(15, i) for i in range(4)) / 2**15) and r.p_chi2 == pytest.approx(math.erfc(math.sqrt(r.chi2 / 2)))
+    with pytest.raises(ValueError):
+        metrics.chance_margin(0)
+    queue = spark.createDataFrame([("q", i, 40 if i == 2 else 12) for i in range(6)], "k string, pos long, n long")
+    assert [x.batch for x in construction.packed_batches(queue, "k").orderBy("pos").collect()] == [0, 0, 1, 2, 2, 3]
+    with pytest.raises(Exception, match="more than 5"):
+        construction.packed_batches(queue, "k", 32, 5).collect()
+    segments = spark.createDataFrame([("b", 10, 4, "w", 1.5, None), ("a", 0, 0, "w", 0.5, "x")], "segment string, seen long, kept long, worker string, seconds double, error string")
+    assert tuple(gates.merge_segments(segments).first()) == (1, ["a"], 10, 4, 0.4, 1, 1.5, 2.0)
