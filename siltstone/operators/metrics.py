@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.runtime import cut
+
 
 RANGES = 64
 
@@ -59,11 +61,11 @@ def threshold_at_fpr(df: DataFrame, budget: float) -> float:
 def ranked_counts(df: DataFrame, by: list[str]) -> DataFrame:
     """(by, score, n, pos, below): rows of each distinct score, and how many of the group score less.
 
-    Running sums go over about RANGES ranges of scores of near-equal numbers of rows, then within each range, so
+    Running sums go over about RANGES ranges of near-equal numbers of distinct scores, then within each range, so
     that no task holds all scores of a group.
     """
-    counts = value_counts(df.where(F.col("score").isNotNull()), by)
-    edges = df.agg(F.percentile_approx("score", [i / RANGES for i in range(1, RANGES)], 10 * RANGES)).first()[0] or []
+    counts = cut(value_counts(df.where(F.col("score").isNotNull()), by))
+    edges = counts.agg(F.percentile_approx("score", [i / RANGES for i in range(1, RANGES)], 10 * RANGES)).first()[0] or []
     place = F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e < F.col("score"))) if edges else F.lit(0)
     ranged = counts.withColumn("_range", place)
     sizes = ranged.groupBy(*by, "_range").agg(F.sum("n").alias("_n"))
