@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from siltstone.runtime import cut
+from siltstone.runtime import cut, shuffle_width, spread
 
 MERSENNE = (1 << 61) - 1
 MASK_32 = (1 << 32) - 1
@@ -180,23 +180,24 @@ def first_wins(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     The sequential rule "compare with kept rows only, in order of id", by rounds: a row whose smaller neighbours are all
     dropped is kept; a row with a kept smaller neighbour is dropped. Each round settles at least the least open row
     of every component. ``pairs``: (a, b, similarity) with a < b. ``duplicate_of`` is the most similar kept one (ties: least id).
+    The states are never broadcast: as Parquet they are so small that each round would send all rows through the driver.
     """
     edges = cut(pairs.select("a", "b", "similarity"))
     touched = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
     state = cut(touched.withColumn("state", F.lit("open")))  # rows without a neighbour are kept as they are
 
     def settled(state: DataFrame) -> DataFrame:
-        by_a = edges.join(state.select(F.col("id").alias("a"), F.col("state").alias("sa")), "a")
+        by_a = edges.join(state.select(F.col("id").alias("a"), F.col("state").alias("sa")).hint("merge"), "a")
         seen = by_a.groupBy(F.col("b").alias("id")).agg(F.max(F.col("sa") == "kept").alias("kept_before"), F.max(F.col("sa") == "open").alias("open_before"))
         new = F.when(F.col("state") != "open", F.col("state")).when(F.col("kept_before"), "dropped").when(F.coalesce("open_before", F.lit(False)), "open").otherwise("kept")
-        return state.join(seen, "id", "left").select("id", new.alias("state"))
+        return state.join(seen.hint("merge"), "id", "left").select("id", new.alias("state"))
 
     while not state.where("state = 'open'").isEmpty():
         state = cut(settled(settled(state)))  # two rounds a table
     kept = state.where("state = 'kept'").select(F.col("id").alias("a"))
-    best = edges.join(kept, "a").groupBy(F.col("b").alias("id")).agg(F.min_by("a", F.struct(F.negative("similarity"), F.col("a"))).alias("best"))
-    dropped = state.where("state = 'dropped'").join(best, "id").select("id", F.col("best").alias("duplicate_of"))
-    return ids.select("id").join(dropped, "id", "left")
+    best = edges.join(kept.hint("merge"), "a").groupBy(F.col("b").alias("id")).agg(F.min_by("a", F.struct(F.negative("similarity"), F.col("a"))).alias("best"))
+    dropped = state.where("state = 'dropped'").join(best.hint("merge"), "id").select("id", F.col("best").alias("duplicate_of"))
+    return ids.select("id").join(dropped.hint("merge"), "id", "left")
 
 
 def hamming_pairs(hashes: DataFrame, most: int = 6, agree: int = 3) -> DataFrame:
@@ -205,24 +206,68 @@ def hamming_pairs(hashes: DataFrame, most: int = 6, agree: int = 3) -> DataFrame
     Of ``most + agree`` blocks of bits two hashes that near have ``agree`` in common at least, so every choice of that
     many blocks is a join key. Equal hashes are one node; their rows are paired at the end.
     """
-    nodes = hashes.where("hash is not null").select(F.col("hash").alias("node")).distinct()
-    met = met_within(nodes.select("node", F.explode(_block_keys(most, agree)).alias("key")))
-    distance = F.bit_count(F.col("m").bitwiseXOR(F.col("n")))
-    near = met.select("m", "n", distance.alias("distance")).where(F.col("distance") <= most)
-    a, b = (hashes.select(F.col("hash").alias(h), F.col("id").alias(i)) for h, i in (("m", "i"), ("n", "j")))
+    keyed = cut(hashes.where("hash is not null").select("id", "hash"))
+    near = _near_nodes(cut(keyed.select(F.col("hash").alias("node")).distinct()), most, agree)
+    a, b = (keyed.select(F.col("hash").alias(h), F.col("id").alias(i)).hint("merge") for h, i in (("m", "i"), ("n", "j")))
     across = near.join(a, "m").join(b, "n").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "distance")
-    several = hashes.groupBy("hash").count().where("count > 1 and hash is not null").select("hash")
-    twins = hashes.join(several, "hash", "left_semi")
-    within = twins.alias("x").join(twins.alias("y"), F.expr("x.hash = y.hash and x.id < y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(0).alias("distance"))
+    several = keyed.groupBy("hash").count().where("count > 1").select("hash")
+    twins = keyed.join(several.hint("merge"), "hash", "left_semi")
+    within = twins.alias("x").join(twins.alias("y").hint("merge"), F.expr("x.hash = y.hash and x.id < y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(0).alias("distance"))
     return across.unionByName(within)
 
 
-def _block_keys(most: int, agree: int):
-    """Keys of the column ``node``: its bits in each choice of ``agree`` of ``most + agree`` blocks."""
-    blocks = most + agree
+def _near_nodes(nodes: DataFrame, most: int, agree: int, block: int = 4_000) -> DataFrame:
+    """(m, n, distance), m < n: pairs of distinct ``node`` at most ``most`` bits apart, each once.
+
+    A pair counts at the first of its common keys only, so those met need no shuffle to be made distinct. Keys are never
+    broadcast: Catalyst sizes them as their nodes, of which each has dozens. Keys on more than two blocks of nodes are split as in ``met_within``.
+    """
+    blocks, spark = _bit_blocks(most + agree), nodes.sparkSession
+    bits = (len(blocks) - 1).bit_length()
+    masked = [(F.lit(_signed(sum(blocks[k] for k in chosen))), chosen[-1]) for chosen in combinations(range(len(blocks)), agree)]
+    # the low bits of a key are the last block of its choice
+    key = F.array(*(F.shiftleft(F.xxhash64(mask, F.col("node").bitwiseAND(mask)), bits).bitwiseOR(F.lit(last).cast("long")) for mask, last in masked))
+    keys = spread(nodes).select("node", F.explode(key).alias("key"))
+    width = shuffle_width(spark, nodes.count() * len(masked))
+
+    differ = F.col("x.node").bitwiseXOR(F.col("y.node"))
+    last = F.col("x.key").bitwiseAND(F.lit((1 << bits) - 1))
+    common = sum((((last >= k) & (differ.bitwiseAND(F.lit(_signed(mask))) == 0)).cast("int") for k, mask in enumerate(blocks)), F.lit(0))
+    close = (F.col("x.node") < F.col("y.node")) & (F.bit_count(differ) <= most) & (common == agree)
+
+    def met(rows: DataFrame, *same: str) -> DataFrame:
+        x, y = rows.alias("x"), rows.alias("y").hint("merge")
+        return x.join(y, F.expr(" and ".join(same)) & close).select(F.col("x.node").alias("m"), F.col("y.node").alias("n"), F.bit_count(differ).alias("distance"))
+
+    hot = _hot_keys(keys, block)
+    if hot is None:
+        return met(keys.repartition(width, "key"), "x.key = y.key")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
+    cells = keys.join(hot, "key").select("node", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rest = keys.join(hot, "key", "left_anti").repartition(width, "key")
+    return met(rest, "x.key = y.key").unionByName(met(cells, "x.key = y.key", "x.own = y.other", "x.other = y.own"))
+
+
+def _hot_keys(keys: DataFrame, block: int, buckets: int = 1 << 20) -> DataFrame | None:
+    """(key, blocks) of the keys on more than two blocks of nodes, None if there are none. Only buckets of keys with as many rows are counted key by key."""
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")
+    full = cut(keys.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("c")).where(F.col("c") > 2 * block).select("bucket"))
+    if full.isEmpty():
+        return None
+    counts = keys.withColumn("bucket", bucket).join(full, "bucket", "left_semi").groupBy("key").agg(F.count("*").alias("c"))
+    hot = cut(counts.where(F.col("c") > 2 * block).select("key", F.ceil(F.col("c") / block).cast("int").alias("blocks")))
+    return None if hot.isEmpty() else hot
+
+
+def _bit_blocks(blocks: int) -> list[int]:
+    """Masks that cut 64 bits into blocks."""
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    part = [F.shiftrightunsigned("node", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(edges, edges[1:])]
-    return F.array(*(F.xxhash64(F.lit(i), *(part[k] for k in chosen)) for i, chosen in enumerate(combinations(range(blocks), agree))))
+    return [(1 << hi) - (1 << lo) for lo, hi in zip(edges, edges[1:])]
+
+
+def _signed(x: int) -> int:
+    """64 bits as the signed number that a bigint holds."""
+    return x - (1 << 64) if x >> 63 else x
 
 
 def hamming_first_wins(hashes: DataFrame, most: int = 6) -> DataFrame:
@@ -232,8 +277,8 @@ def hamming_first_wins(hashes: DataFrame, most: int = 6) -> DataFrame:
     """
     first = cut(hashes.where("hash is not null").groupBy("hash").agg(F.min("id").alias("id")))
     pairs = hamming_pairs(first, most).withColumn("similarity", 1 - F.col("distance") / 64)
-    per = first_wins(first, pairs).join(first, "id").select("hash", F.col("id").alias("_first"), "duplicate_of")
-    out = hashes.join(per, "hash", "left")
+    per = first_wins(first, pairs).join(first.hint("merge"), "id").select("hash", F.col("id").alias("_first"), "duplicate_of")
+    out = hashes.join(per.hint("merge"), "hash", "left")
     return out.select("id", F.when(F.col("_first").isNull(), None).otherwise(F.coalesce("duplicate_of", F.when(F.col("id") != F.col("_first"), F.col("_first")))).alias("duplicate_of"))
 
 

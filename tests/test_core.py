@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import unicodedata
+from itertools import combinations
 from pathlib import Path
 
 import numpy as np
@@ -510,6 +511,40 @@ def test_first_wins_by_hamming_distance(spark):
     assert {i for i, d in out.items() if d is None} == {i for i, d in want.items() if d is None}
 
 
+@pytest.fixture
+def small_broadcasts(spark):
+    """What a driver broadcasts may take 3 MB."""
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "3m")
+    yield
+    spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+def _families(n: int, bits: int) -> list[int]:
+    """Hashes in families of 40, each with a run of ``bits`` ones flipped at its own place."""
+    return [random.Random(i // 40).getrandbits(62) ^ ((1 << bits) - 1) << i % 59 for i in range(n)]
+
+
+def test_hamming_first_wins_broadcasts_no_keys(spark, small_broadcasts):
+    h, kept, want = _families(6000, 3), {}, {}
+    for i, x in enumerate(h):
+        near = [((x ^ h[j]).bit_count(), j) for j in kept.get(i // 40, []) if (x ^ h[j]).bit_count() <= 4]
+        want[i] = min(near)[1] if near else None
+        if not near:
+            kept.setdefault(i // 40, []).append(i)
+    out = {r.id: r.duplicate_of for r in dedup.hamming_first_wins(spark.createDataFrame(list(enumerate(h)), "id long, hash long"), 4).collect()}
+    assert out == want
+
+
+def test_hot_keys_of_hamming_blocks_are_split(spark):
+    rng = random.Random(8)
+    h = list({rng.getrandbits(8) | rng.getrandbits(8) << 56 for _ in range(150)} | {rng.getrandbits(64) for _ in range(50)})
+    nodes = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in h], "node long")
+    for most, agree in ((6, 3), (0, 3)):
+        plain, split = (sorted(map(tuple, dedup._near_nodes(nodes, most, agree, block).collect())) for block in (4_000, 8))
+        near = {(d, frozenset(p)) for p in combinations([r.node for r in nodes.collect()], 2) if (d := ((p[0] ^ p[1]) & (1 << 64) - 1).bit_count()) <= most}
+        assert plain == split and all(m < n for m, n, _ in plain) and len(plain) == len(near) and {(d, frozenset((m, n))) for m, n, d in plain} == near
+
+
 def test_digests_stream_over_sorted_lines(spark):
     df = spark.createDataFrame([("b", "x"), ("a", "x"), ("c", None), (None, "x"), ("d", "y")], "k string, g string")
     got = {r.g: (r.n_docs, r.ids_sha256) for r in lake.manifest(df, "g", "k").collect()}
