@@ -535,6 +535,12 @@ def test_hamming_first_wins_broadcasts_no_keys(spark, small_broadcasts):
     assert out == want
 
 
+def test_hamming_pairs_broadcast_no_keys(spark, small_broadcasts):
+    h = _families(4000, 1)
+    out = sorted(map(tuple, dedup.hamming_pairs(spark.createDataFrame(list(enumerate(h)), "id long, hash long")).collect()))
+    assert out == [(i, j, (h[i] ^ h[j]).bit_count()) for i in range(4000) for j in range(i + 1, i // 40 * 40 + 40)]
+
+
 def test_hot_keys_of_hamming_blocks_are_split(spark):
     rng = random.Random(8)
     h = list({rng.getrandbits(8) | rng.getrandbits(8) << 56 for _ in range(150)} | {rng.getrandbits(64) for _ in range(50)})
